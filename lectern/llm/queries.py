@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.encoding import encode_texts
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
+from lectern.llm.skeleton import look_alike_pairs
 from lectern.plans.registry import Query, Registry
 from lectern.session import table
 
@@ -69,6 +71,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best_of_group(close, limits, "question_id", "chunk_id", "top_n").select("question_id", "chunk_id")
 
 
+@LLM.query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks whose texts look the same but are not the same characters."""
+    pairs = look_alike_pairs(table(spark, folder, "chunks"), "chunk_id", "text")
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@LLM.query("p8_ids")
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document text by byte_bpe_50k."""
+    return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     """Name → callable(spark, folder)."""
     return dict(LLM.queries)
