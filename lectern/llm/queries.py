@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.encoding import encode_texts
+from lectern.llm.packing import pack
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
 from lectern.llm.skeleton import look_alike_pairs
 from lectern.plans.registry import Query, Registry
@@ -13,6 +14,19 @@ from lectern.session import table
 
 LLM = Registry()
 
+REQUEST_CHARS = 4_000
+
+
+@LLM.query("p1_requests")
+def p1_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Embedding requests of 4,000 characters for the distinct embedding inputs of the chunks."""
+    inputs = (
+        table(spark, folder, "chunks").groupBy("embed_input_hash").agg(F.max(F.length("text")).alias("chars"))
+    )
+    packed = pack(inputs, "embed_input_hash", F.col("chars"), REQUEST_CHARS)
+    return packed.select("embed_input_hash", F.col("container").alias("request_no"), F.col("piece").alias("piece_no"))
+
+
 P5_SQL = """
 WITH scored AS (
   SELECT question_id, chunk_id, max(b) AS b, max(l) AS l, max(s) AS s FROM (
