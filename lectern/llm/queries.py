@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.encoding import encode_texts
+from lectern.llm.language import label_languages, train, wrong_labels
 from lectern.llm.packing import pack
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
 from lectern.llm.skeleton import look_alike_pairs
@@ -27,6 +28,26 @@ def p1_requests(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("embed_input_hash", F.col("container").alias("request_no"), F.col("piece").alias("piece_no"))
 
 
+@LLM.query("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages of every chunk whose stored language is absent or does not fit its text."""
+    chunks = table(spark, folder, "chunks")
+    model = train(chunks, "text", "language", "chunk_id")
+    return wrong_labels(label_languages(chunks, "chunk_id", "text", "language", model), "chunk_id", "language")
+
+
+@LLM.query("p2_segments")
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every chunk, and of every segment of a mixed one."""
+    chunks = table(spark, folder, "chunks").dropDuplicates(["chunk_id"])
+    model = train(chunks, "text", "language", "chunk_id")
+    labelled = label_languages(chunks, "chunk_id", "text", "language", model)
+    return labelled.select(
+        "chunk_id", F.col("language").alias("chunk_language"), F.col("confidence").alias("chunk_confidence"),
+        F.inline_outer("segments"),
+    )
+
+
 P5_SQL = """
 WITH scored AS (
   SELECT question_id, chunk_id, max(b) AS b, max(l) AS l, max(s) AS s FROM (
