@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import checkpointed
+
 # Letters of other scripts and the Latin letters they look like.
 LOOK_ALIKES = {
     "АВЕКМНОРСТХЅІЈҮԚԜӀ": "ABEKMHOPCTXSIJYQWI",
@@ -118,7 +120,7 @@ def look_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     Only digests are shuffled. Looks with one text are sorted out by an aggregate that combines before the shuffle, so
     a text copied into a third of all rows costs no more than others.
     """
-    prints = fingerprints(rows, key, text)
+    prints = checkpointed(fingerprints(rows, key, text))  # read three times below
     shared = (
         prints.groupBy("look")
         .agg(F.min("form").alias("least"), F.max("form").alias("most"))
