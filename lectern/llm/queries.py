@@ -9,6 +9,7 @@ from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
 from lectern.llm.packing import pack
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
+from lectern.llm.sentences import split_sentences
 from lectern.llm.skeleton import look_alike_pairs
 from lectern.plans.registry import Query, Registry
 from lectern.session import table
@@ -48,6 +49,13 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@LLM.query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every passage."""
+    sentences = split_sentences(table(spark, folder, "passages"), "passage_id", "text")
+    return sentences.select("passage_id", "char_start", "char_end").distinct()
+
+
 P5_SQL = """
 WITH scored AS (
   SELECT question_id, chunk_id, max(b) AS b, max(l) AS l, max(s) AS s FROM (
