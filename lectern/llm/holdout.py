@@ -1,0 +1,44 @@
+"""Texts written and checked by hand, on which the probabilities of the quality model are calibrated."""
+
+PROSE = [
+    "The pump was replaced in spring. Since then nobody has heard the noise, and the log shows no fault.",
+    "# Notes\n\nWe met on Monday to talk about the roof. It leaks in two places, and the repair will take a week.\n\n- bring the ladder\n- call the firm",
+    "Run `make all` first. If it fails, read the last lines of the log and try again with a clean folder.\n\n```\nmake clean\n```",
+    "Yes, that is right.",
+    "The old bridge was\nclosed to lorries, so\nthe drivers went round\nby the mill.",
+    "Prices rose in all but one of the towns.\n\n| town | price |\n|---|---|\n| Ash | 4 |\n\nThe table shows that the change was small, and that it came late in the year for most of them.",
+    "Die Brücke wurde im Herbst gesperrt. Seitdem fahren die Wagen über den alten Weg, bis die Arbeit beendet ist.",
+    "Der Brief kam erst nach einer Woche an, und niemand wusste, wer ihn geschrieben hatte.",
+    "Le pont est fermé depuis l'automne. Les camions passent par le moulin, et la route est mauvaise pour tous.",
+    "Il a plu toute la nuit sur la ville, mais le matin était clair et les rues étaient vides.",
+    "El puente se cerró en otoño. Los camiones van por el molino, y el camino es malo para todos.",
+    "La carta llegó una semana después, y nadie sabía quién la había escrito en la oficina.",
+    "پل در پاییز بسته شد. از آن زمان کامیون‌ها از راه آسیاب می‌روند و این راه برای همه بد است.",
+    "نامه پس از یک هفته رسید و هیچ کس نمی‌دانست که چه کسی آن را نوشته است.",
+    "أغلق الجسر في الخريف. منذ ذلك الحين تمر الشاحنات من طريق الطاحونة وهو طريق سيئ على كل الناس.",
+    "这座桥在秋天关闭了。从那时起，卡车会从磨坊旁边的路走，请不要在晚上经过。",
+    "橋は秋に閉鎖されました。それからトラックは水車の道を通りますが、その道は悪いです。",
+]
+
+JUNK = [
+    "- bolt\n- nut\n- washer\n- spring\n- hinge (A-12)\n- spare key",
+    "1) red paint\n2) BRUSH_LARGE\n3) the ladder\n4) tape\n5) the blue bucket\n6) nails",
+    "bolt, nut, washer, the hinge, spring, SPARE_KEY, the lock, bolt, nut (A-7), washer, the handle",
+    "the bolt\nthe nut\nhinge (A-12)\nSPARE_KEY\nthe lock\nopen all\nthe nut",
+    "| a | b | c |\n|---|---|---|\n| 1 | 4 | AX-1 |\n| 2 | 5 | AX-2 |\n| 3 | 6 | AX-3 |",
+    "part\tcount\tprice\nbolt\t4\t1.20\nnut\t7\t0.30\nhinge\t1\t6.00",
+    "part,count,price\nbolt,4,1.20\nnut,7,0.30\nhinge,1,6.00\nlock,2,9.10",
+    "part            count           price\nbolt            4               1.20\nnut             7               0.30",
+    "<table>\n<tr><td>bolt</td><td>4</td></tr>\n<tr><td>nut</td><td>7</td></tr>\n</table>",
+    "2024-05-01T10:00Z WARN [AX-1] pid=4 t=12ms\n2024-05-01T10:02Z INFO [AX-9] pid=4 t=3ms",
+    "4f 00 1a 9c 7e 22 10 ff\n01 9a bb 3c 5d e0 00 41",
+    "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4\nYmF6cXV4Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4Zm8xMg==",
+    "Home | About | Login\nNext » | « Back | Print\nLogin | Home | Search",
+    "[x] paint\n[ ] BRUSH_LARGE\n[x] the ladder\n[ ] tape",
+    "depth: 4\nlimit: 19\n/var/a/b.conf = AX-19\nwidth: 7",
+    "Notes Notes Notes Notes Notes Notes Notes Notes Notes Notes Notes Notes",
+    "T h e p u m p w a s r e p l a c e d i n s p r i n g . N o b o d y h e a r d t h e n o i s e .",
+    "Th� p�mp w�s r�pl�c�d �n spr�ng. S�nc� th�n n�b�d� h�s h��rd th� n��s�.",
+    "Die BrÃ¼cke wurde gesperrt Ã¼ber fÃ¼nf StraÃ\x9fen fÃ¼r groÃ\x9fe ZÃ¼ge.",
+    "{]3+x&%(=z\\4^a>~8#@ 7{]+=&^%x*|<2 >~b1[9\\/+",
+]

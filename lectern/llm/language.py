@@ -278,7 +278,7 @@ LABELLED = (
 
 
 def label_languages(rows: DataFrame, key: str, text: str, label: str, model: KernelModel) -> DataFrame:
-    """(key, stored label, language, confidence, segments) of every row.
+    """(key, label, language, confidence, segments) of every row; ``label`` is the stored one.
 
     The language is one of ``LANGUAGES``, ``mixed`` for a text with a whole sentence each of two or more, or null
     for a text without a word, which includes null and empty ones; segments of a text in one language are one. Rows
@@ -308,13 +308,12 @@ def label_languages(rows: DataFrame, key: str, text: str, label: str, model: Ker
     return (
         picked.mapInArrow(run, f"key {kinds[0]}, label {kinds[1]}, {LABELLED}")
         .withColumnRenamed("key", key)
-        .withColumnRenamed("label", label)
     )
 
 
-def wrong_labels(labelled: DataFrame, key: str, label: str) -> DataFrame:
+def wrong_labels(labelled: DataFrame, key: str) -> DataFrame:
     """(key, language): one row for each language of every text whose stored label is absent or wrong; distinct."""
     wrong = labelled.where(
-        F.col("language").isNotNull() & ~named_language(F.col(label)).eqNullSafe(F.col("language"))
+        F.col("language").isNotNull() & ~named_language(F.col("label")).eqNullSafe(F.col("language"))
     )
     return wrong.select(key, F.explode(F.array_distinct(F.col("segments.language"))).alias("language")).distinct()

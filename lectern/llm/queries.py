@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
 from lectern.llm.packing import pack
+from lectern.llm.quality import prose_probability, text_statistics
+from lectern.llm.quality import train as train_quality
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
 from lectern.llm.sentences import split_sentences
 from lectern.llm.skeleton import look_alike_pairs
@@ -34,7 +36,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of every chunk whose stored language is absent or does not fit its text."""
     chunks = table(spark, folder, "chunks")
     model = train(chunks, "text", "language", "chunk_id")
-    return wrong_labels(label_languages(chunks, "chunk_id", "text", "language", model), "chunk_id", "language")
+    return wrong_labels(label_languages(chunks, "chunk_id", "text", "language", model), "chunk_id")
 
 
 @LLM.query("p2_segments")
@@ -127,6 +129,24 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = train_quality(documents, "doc_id", "text")
+    return prose_probability(text_statistics(documents, "doc_id", "text"), "doc_id", model)
+
+
+@LLM.query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are not prose for the most part."""
+    return _quality(spark, folder).where(F.col("prose") < 0.5).select("doc_id").distinct()
+
+
+@LLM.query("p10_statistics")
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every document and the probability that it is prose."""
+    return _quality(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     """Name → callable(spark, folder)."""
     return dict(LLM.queries)
