@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W\d_]+(?:[‌'’-][^\W\d_]+)*")
 SPACELESS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()«»“”„‘’؟،؛。、！？：；（）「」…‌-]")
 BROKEN = re.compile(r"[�\x80-\x9f]|[ÃÂØÙÛÐÑ][ -¿]?|[\x00-\x08\x0e-\x1f]")
-DISGUISED = re.compile("[Ͱ-ϿЀ-ӿ԰-֏＀-￯\xad​⁠﻿ﬀ-ﭏ  ]")
+DISGUISED = re.compile("[Ͱ-ϿЀ-ӿ԰-֏＀-￯\xad​⁠﻿ﬀ-ﭏ\xa0  ]")
 ITEM = re.compile(r"\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\[[ xX]?\]\s|\|)")
 CELL = re.compile(r"\t|\S {3,}\S|<t[dhr]\b|</?table|(?:^|\s)\|\s|^(?:[^,\n]+,){2,}[^,\s][^,]*$")
 END = re.compile(r"[.!?؟۔。！？…:](?:[\"'”’»)\]`]*)(?:\s|$)|[。！？]")
@@ -64,6 +64,13 @@ def _readable(unit: str, broken: bool) -> bool:
     return len(SPACELESS.findall(unit)) >= 5
 
 
+def _cells(line: str) -> bool:
+    """Whether a line is a row of cells."""
+    if "|" in line or "\t" in line or "   " in line or "<" in line or line.count(",") > 1:
+        return CELL.search(line) is not None
+    return False
+
+
 def _like_prose(rest: str) -> bool:
     words = [w.lower() for w in WORD.findall(rest)]
     return len(set(words)) * 2 > len(words) and sum(w in COMMON_WORDS for w in words) * 6 >= len(words)
@@ -73,7 +80,7 @@ def _blocks(text: str) -> Iterator[tuple[str, int]]:
     """Paragraphs and list items, their lines joined, with the number of lines; lines made of cells are left out."""
     held: list[str] = []
     for line in text.split("\n"):
-        cells = CELL.search(line) is not None and END.search(line.rstrip()[-3:]) is None
+        cells = _cells(line) and END.search(line.rstrip()[-3:]) is None
         if not line.strip() or cells or ITEM.match(line):
             if held:
                 yield " ".join(held), len(held)
@@ -137,7 +144,7 @@ def statistics(text: str) -> tuple[float, ...]:
         singles,
         sum(map(text.count, "0123456789")) / size,
         sum(ITEM.match(line) is not None for line in lines) / len(lines),
-        sum(CELL.search(line) is not None for line in lines) / len(lines),
+        sum(map(_cells, lines)) / len(lines),
         distinct,
         count / len(lines),
         len(CAPITAL.findall(text)) / max(1, count),
