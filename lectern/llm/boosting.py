@@ -49,6 +49,7 @@ class BoostedTrees:
             gradient = m.T @ (p - y) + prior * (w - [1.0, 0.0])
             hessian = (m * (p * (1 - p))[:, None]).T @ m + prior * np.eye(2)
             step = np.linalg.solve(hessian, gradient)
+            step *= min(1.0, 0.5 / max(1e-12, np.abs(step).max()))
             w -= step
             if np.abs(step).max() < 1e-9:
                 break
@@ -63,7 +64,10 @@ def boost(
     model = BoostedTrees(float(np.log(share / (1 - share))))
     if len(y) < 2 * least or len(np.unique(y)) < 2:
         return model
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    inner = np.linspace(0, 1, bins + 1)[1:-1]
+    edges = [
+        np.unique(np.r_[np.quantile(c, inner), c.min() + inner * (c.max() - c.min())]) for c in x.T
+    ]  # by rank and by value: a gap between two dense values gets edges too
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
     margin = np.full(len(y), model.start)
     for _ in range(trees):
