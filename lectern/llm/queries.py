@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.contamination import leaked_items
 from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
 from lectern.llm.packing import pack
@@ -135,6 +136,18 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return prose_probability(text_statistics(documents, "doc_id", "text"), "doc_id", model)
 
 
+@LLM.query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold at least half of a benchmark item, with the item.
+
+    Nothing lies between two fifths and half; the bar in the middle leaves room for words counted differently.
+    """
+    leaks = leaked_items(
+        table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text"
+    )
+    return leaks.select("doc_id", "item_id").distinct()
+
+
 @LLM.query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are not prose for the most part."""
