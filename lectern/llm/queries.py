@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm.contamination import leaked_items
 from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
+from lectern.llm.neighbours import latest_vectors, mutual_pairs, nearest_vectors
 from lectern.llm.packing import pack
 from lectern.llm.quality import prose_probability, text_statistics
 from lectern.llm.quality import train as train_quality
@@ -59,6 +60,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.select("passage_id", "char_start", "char_end").distinct()
 
 
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    cache = table(spark, folder, "embedding_cache")
+    return nearest_vectors(latest_vectors(cache, "model_id", "input_hash", "vector", "dim", "created_at"))
+
+
+@LLM.query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of input hashes, each among the five most similar of the other, with a cosine of 0.95 or more.
+
+    The comparison leaves room for the rounding of single precision.
+    """
+    pairs = mutual_pairs(_nearest(spark, folder), 0.95 - 1e-6)
+    return pairs.select(F.col("space").alias("model_id"), F.col("a").alias("input_hash_a"), F.col("b").alias("input_hash_b"))
+
+
+@LLM.query("p4_neighbours")
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar other vectors of every usable vector, within its model."""
+    nearest = _nearest(spark, folder)
+    return nearest.select(F.col("space").alias("model_id"), F.col("key").alias("input_hash"), "rank", F.col("other").alias("other_hash"), "similarity")
+
+
 P5_SQL = """
 WITH scored AS (
   SELECT question_id, chunk_id, max(b) AS b, max(l) AS l, max(s) AS s FROM (
