@@ -14,7 +14,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     """Euclidean length."""
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def hash_embedding(text: Column, dim: int = 32) -> Column:
@@ -29,9 +34,12 @@ def hash_embedding(text: Column, dim: int = 32) -> Column:
     slot = lambda h: (F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(dim)).cast("int")
     sign = lambda h: F.when(F.conv(F.substring(h, 17, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
     signed = F.transform(hashed, lambda h: F.struct(slot(h).alias("slot"), sign(h).alias("sign")))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(signed, F.lit(0.0), lambda s, x: s + F.when(x["slot"] == i, x["sign"]).otherwise(0.0)),
-    )
-    length = norm(sums)
-    return F.when(length > 0, F.transform(sums, lambda v: v / length)).otherwise(sums)
+
+    def sums(pairs: Column) -> Column:
+        one = lambda i: F.aggregate(F.filter(pairs, lambda p: p["slot"] == i), F.lit(0.0), lambda s, x: s + x["sign"])
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
+
+    def unit(v: Column) -> Column:
+        return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return let(let(signed, sums), unit)
