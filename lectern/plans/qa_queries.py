@@ -42,7 +42,7 @@ def _arms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _covered(spark: SparkSession, folder: str) -> DataFrame:
-    fused = fusion.fuse(*_arms(spark, folder))
+    fused = checkpointed(fusion.fuse(*_arms(spark, folder)))  # read twice below
     texts = table(spark, folder, "chunks").groupBy("chunk_id").agg(F.first("text").alias("text"))
     needed = texts.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", t.tokenize(F.col("text")).alias("tokens"))
     terms = _asked(spark, folder).select("question_id", "terms")
