@@ -41,6 +41,12 @@ def _best(ids: np.ndarray, sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), order
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, ascending; sorts in place."""
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 @dataclass
 class Layer:
     """Neighbours of the nodes of one layer; nodes are the first ``len(neighbours)`` rows of the vectors."""
@@ -57,12 +63,12 @@ class Layer:
         sims = np.full((count, ef), -np.inf, dtype=np.float32)
         done = np.ones((count, ef), dtype=bool)
         rows, at = np.nonzero(entry >= 0)
-        keys = np.unique(rows * n + entry[rows, at])
+        keys = _distinct(rows * n + entry[rows, at])
         live = np.arange(count)
         while len(keys):
             seen[keys] = True
             r, v = keys // n, keys % n
-            s = np.einsum("nd,nd->n", x[v], q[r])
+            s = np.einsum("nd,nd->n", np.take(x, v, axis=0), np.take(q, r, axis=0))
             better = s > sims[r, -1]
             r, v, s = r[better], v[better], s[better]
             if len(r):
@@ -80,9 +86,9 @@ class Layer:
             row, column = np.nonzero(pick)
             row = live[row]
             done[row, column] = True
-            near = self.neighbours[ids[row, column]]
+            near = np.take(self.neighbours, ids[row, column], axis=0)
             keys = (row[:, None] * n + near)[near >= 0]
-            keys = np.unique(keys[~seen[keys]])
+            keys = _distinct(keys[~np.take(seen, keys)])
         return ids, sims
 
     @staticmethod
