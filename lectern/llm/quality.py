@@ -53,14 +53,14 @@ CAPITAL = re.compile(r"\b[A-Z][A-Z0-9]*(?:[_-][A-Z0-9]+)+\b")
 def _readable(unit: str, broken: bool) -> bool:
     if broken and len(BROKEN.findall(unit)) * 25 > len(unit):
         return False
-    words = WORD.findall(unit)
+    words = WORD.findall(unit.lower())
     letters = sum(map(len, words))
     if unit.isascii() or not SPACELESS.search(unit):
         if len(words) < 3 or letters < 2.3 * len(words):
             return False
         if len(words) < 10:
             return True
-        return sum(w in COMMON_WORDS or w.lower() in COMMON_WORDS for w in words) * 20 >= len(words)
+        return sum(map(COMMON_WORDS.__contains__, words)) * 20 >= len(words)
     return len(SPACELESS.findall(unit)) >= 5
 
 
@@ -122,17 +122,16 @@ def statistics(text: str) -> tuple[float, ...]:
     plain = consistent(text) if DISGUISED.search(text) else text
     spaceless = [] if plain.isascii() else SPACELESS.findall(plain)
     broken = len(BROKEN.findall(text))
-    words = WORD.findall(plain)
+    words = WORD.findall(plain.lower())
     if len(spaceless) * 3 > size:
         count = max(1, len(spaceless) // 2)
         common = min(1.0, sum(c in COMMON_CHARS for c in spaceless) / count)
         length, distinct, singles = 2.0, min(1.0, len(set(re.findall(r"\S\S", plain))) / count), 0.0
     else:
         count = max(1, len(words))
-        lower = [w.lower() for w in words]
-        common = sum(w in COMMON_WORDS for w in lower) / count
-        length, distinct = sum(map(len, words)) / count, len(set(lower)) / count
-        singles = sum(len(w) == 1 for w in words) / count
+        sizes = list(map(len, words))
+        common = sum(map(COMMON_WORDS.__contains__, words)) / count
+        length, distinct, singles = sum(sizes) / count, len(set(words)) / count, sizes.count(1) / count
     return (
         float(count if words or spaceless else 0),
         length,
