@@ -22,6 +22,8 @@ from lectern.llm.skeleton import prototypes
 
 #: Bytes of item text up to which the automaton is built in one piece; more items are handled in several passes.
 BOUND = 8_000_000
+#: Pieces of text kept normalised by a worker; when as many are held, the memory is emptied.
+MEMORY = 400_000
 
 MARKUP = re.compile(r"</?[A-Za-z][\w-]{0,15}(?:\s[^<>]{0,200})?>")
 MARKS = re.compile(r"[̀-ًͯ-ٰٟۖ-ۭـ]+")
@@ -153,6 +155,7 @@ class LeakFinder:
         self.number: dict[str, int] = {}
         numbered = [[self.number.setdefault(w, len(self.number)) for w in ws] for ws in words]
         self.base = len(self.number) + 1
+        self.known: dict[str, list[int]] = {}
         grams = {self._gram(t[i : i + 3]) for t in numbered for i in range(len(t) - 2)}
         self.grams = np.array(sorted(grams), dtype=np.int64)
         self.automaton = SuffixAutomaton(numbered)
@@ -161,18 +164,34 @@ class LeakFinder:
         a, b, c = three
         return (a * self.base + b) * self.base + c
 
+    def tokens(self, text: str) -> list[int]:
+        """Numbers of the normalised words of a text, -1 for words of no item.
+
+        Normalisation never looks past white space, so each piece between is normalised once and remembered.
+        """
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        known, number, out = self.known, self.number, []
+        for piece in (MARKUP.sub("", text) if "<" in text else text).split():
+            words = known.get(piece)
+            if words is None:
+                words = known[piece] = [number.get(w, -1) for w in normalised_words(piece)]
+            out += words
+        return out
+
     def find(self, text: str) -> list[tuple[object, int, float, int, int]]:
         """(item, covered words, share of the item, first and last word position in the text) of the leaked items."""
-        get = self.number.get
-        tokens = [get(w, -1) for w in normalised_words(text)]
+        tokens = self.tokens(text)
         if len(tokens) < self.least:
             return []
         t = np.array(tokens, dtype=np.int64)
         known = (t[:-2] >= 0) & (t[1:-1] >= 0) & (t[2:] >= 0)
-        if not known.any():
+        if not known.any() or not len(self.grams):
             return []
         at = np.flatnonzero(known)
-        hit = at[np.isin((t[at] * self.base + t[at + 1]) * self.base + t[at + 2], self.grams)]
+        three = (t[at] * self.base + t[at + 1]) * self.base + t[at + 2]
+        place = np.minimum(np.searchsorted(self.grams, three), len(self.grams) - 1)
+        hit = at[self.grams[place] == three]
         if not len(hit):
             return []
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
