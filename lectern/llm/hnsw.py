@@ -33,12 +33,16 @@ def _ranked(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> t
 
 def _best(ids: np.ndarray, sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best columns of every row, in descending order, and where they were."""
-    if sims.shape[1] > keep:
-        part = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-        order = np.take_along_axis(part, np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable"), 1)
+    rows, width = np.arange(len(sims))[:, None], sims.shape[1]
+    worst_first = np.negative(sims)
+    if width > keep:
+        part = np.argpartition(worst_first, keep - 1, axis=1)[:, :keep]
+        inner = np.argsort(np.take(worst_first, part + rows * width), axis=1, kind="stable")
+        order = np.take(np.ascontiguousarray(part), inner + rows * keep)
     else:
-        order = np.argsort(-sims, axis=1, kind="stable")
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), order
+        order = np.argsort(worst_first, axis=1, kind="stable")
+    flat = order + rows * width
+    return np.take(ids, flat), np.take(sims, flat), order
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
@@ -55,7 +59,7 @@ class Layer:
     sims: np.ndarray
     size: int = 0
 
-    def search(self, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sims) of the ``ef`` best nodes found for every query, from its entry nodes; best first."""
         n, count = self.size, len(q)
         seen = np.zeros(count * n, dtype=bool)
@@ -130,7 +134,7 @@ class Graph:
 
     @classmethod
     def build(
-        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 64, batch: int = 512, seed: int = 0
+        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 256, seed: int = 0
     ) -> tuple[Graph, np.ndarray, np.ndarray]:
         """(graph, ids, sims): also the ``keep`` nearest other rows of every row as met during the insertion.
 
@@ -200,7 +204,7 @@ class Graph:
             entry = layer.search(self.x, q, start, 8, 2)[0][:, :4]
         return entry
 
-    def search(self, queries: np.ndarray, keep: int, ef: int = 64, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, keep: int, ef: int = 96, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(rows, sims) of the nearest rows of the matrix for every query; best first, padded."""
         keep_ids, keep_sims = [], []
         for at in range(0, len(queries), batch):

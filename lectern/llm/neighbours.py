@@ -51,7 +51,7 @@ def _neighbour_rows(space: str, dim: int, keys: pa.Array, names: pa.Array, ids:
 
 
 def nearest_vectors(
-    vectors: DataFrame, k: int = 5, links: int = 16, ef: int = 64, per_shard: int = 131_072
+    vectors: DataFrame, k: int = 5, links: int = 16, ef: int = 96, per_shard: int = 131_072
 ) -> DataFrame:
     """(space, dim, key, other, similarity, rank): for each vector the ``k`` most similar others of its space and length.
 
