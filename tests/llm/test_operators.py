@@ -87,7 +87,7 @@ PARTS = [
 ]
 
 
-@pytest.mark.parametrize("text, parts", zip(SPLIT, PARTS))
+@pytest.mark.parametrize("text, parts", list(zip(SPLIT, PARTS)))
 def test_sentences(text, parts):
     spans = sentences.sentence_spans(text)
     if parts[0].startswith("Am 3."):
