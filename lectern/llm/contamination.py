@@ -2,8 +2,9 @@
 
 Test items are normalised and turned into word numbers; the automaton of all of them is small and is sent to every
 worker. Corpus tokens are streamed through it: at each position it knows the longest stretch of words that ends there
-and occurs in some item. Stretches that can't grow further are laid out per item and chained in the item's
-order; an item leaked when its chain covers enough of it.
+and occurs in some item, and by the suffix links the shorter ones that occur in others. Stretches that can't grow further
+at a place of an item are laid out per item and chained in the item's order; an item leaked when its chain covers enough
+of it.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ class SuffixAutomaton:
         for s in order:
             if self.link[s] > 0:
                 self.places[self.link[s]].extend(self.places[s])
+        self.sequences = sequences
+        self.ending: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
 
     def _extend(self, last: int, token: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -119,6 +122,44 @@ class SuffixAutomaton:
         if size >= least:
             yield len(tokens), size, state
 
+    def matches(self, tokens: Sequence[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(end, length, item, last) of every match of at least so many tokens with every place in every item, where it
+        can grow neither to the left nor to the right at that place.
+
+        A stretch of one item may hold a part of another item anywhere, so the suffix links are walked at each position.
+        """
+        nxt, link, length = self.next, self.link, self.length
+        state = size = 0
+        for at, token in enumerate(tokens):
+            while state and token not in nxt[state]:
+                state = link[state]
+                size = length[state]
+            if token not in nxt[state]:
+                state = size = 0
+                continue
+            state = nxt[state][token]
+            size += 1
+            following = tokens[at + 1] if at + 1 < len(tokens) else -1
+            s, n, longer = state, size, -1
+            while n >= least:
+                for item, last in self._ending(s, longer, following):
+                    yield at + 1, n, item, last
+                s, longer = link[s], s
+                n = length[s]
+
+    def _ending(self, state: int, longer: int, following: int) -> list[tuple[int, int]]:
+        """Places of a state that are none of the longer state and aren't followed by the token; remembered."""
+        key = (state, longer, following if following in self.next[state] else -1)
+        held = self.ending.get(key)
+        if held is None:
+            known = set(self.places[longer]) if longer >= 0 else ()
+            held = self.ending[key] = [
+                (item, last)
+                for item, last in self.places[state]
+                if (item, last) not in known and (key[2] < 0 or self.sequences[item][last + 1 : last + 2] != [key[2]])
+            ]
+        return held
+
 
 def chained(matches: list[tuple[int, int, int]], near: int) -> tuple[int, int, int]:
     """(covered words, first, last position) of the best chain of (start in text, start in item, length).
@@ -196,12 +237,10 @@ class LeakFinder:
             return []
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         breaks = np.flatnonzero(np.diff(hit) > 1) + 1
-        places = self.automaton.places
         for run in np.split(hit, breaks):  # every stretch of three words or more lies within one run
             start, end = int(run[0]), int(run[-1]) + 3
-            for stop, size, state in self.automaton.stretches(tokens[start:end], self.least):
-                for item, last in places[state]:
-                    found[item].append((start + stop - size, last + 1 - size, size))
+            for stop, size, item, last in self.automaton.matches(tokens[start:end], self.least):
+                found[item].append((start + stop - size, last + 1 - size, size))
         out = []
         for item, matches in found.items():
             if sum(n for _, _, n in matches) < self.share * self.sizes[item]:

@@ -177,6 +177,31 @@ def test_automaton_finds_the_longest_stretches():
             assert set(automaton.places[state]) == places and places
 
 
+def test_a_leak_within_the_stretch_of_another_item():
+    a = "send the red lamp to the mill today"
+    for b in ("please send the red lamp to the mill before noon", "go and send the red lamp to the mill", "send the red lamp to the mill before noon"):
+        finder = contamination.LeakFinder([(1, a), (2, b)], 3, 10, 0.45)
+        assert sorted((item, covered) for item, covered, *_ in finder.find(f"x {b} y")) == [(1, 7), (2, len(b.split()))]
+
+
+def test_matches_are_all_that_can_not_grow():
+    rnd = random.Random(3)
+    for _ in range(40):
+        items = [[rnd.randint(0, 2) for _ in range(rnd.randint(1, 14))] for _ in range(5)]
+        text = [rnd.randint(-1, 2) for _ in range(25)]
+        want = set()
+        for i, t in enumerate(items):
+            for a in range(len(text)):
+                for b in range(len(t)):
+                    n = 0
+                    while a + n < len(text) and b + n < len(t) and text[a + n] == t[b + n]:
+                        n += 1
+                    if n >= 2 and not (a and b and text[a - 1] == t[b - 1]):
+                        want.add((a + n, n, i, b + n - 1))
+        got = list(contamination.SuffixAutomaton(items).matches(text, 2))
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_language(spark):
     model = language.fit(
         [w for seed in language.SEEDS.values() for _, _, w in language.segments(seed)],
