@@ -96,6 +96,13 @@ def test_sentences(text, parts):
         assert [text[a:b] for a, b in spans] == parts
 
 
+@pytest.mark.parametrize("marks", ["“”", "()", '""', "«»"])
+def test_sentences_of_a_long_quotation(marks):
+    first = f"She read {marks[0]}{'We went there. ' * 100}It was late.{marks[1]} and left."
+    spans = sentences.sentence_spans(f"{first} Nobody moved.")
+    assert spans == [(0, len(first)), (len(first) + 1, len(first) + 14)]
+
+
 def test_sentences_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n​"), (4, "Yes"), (4, "Yes")], "id int, text string")
     assert [tuple(r) for r in sentences.split_sentences(df, "id", "text").collect()] == [(4, 0, 3, "Yes")] * 2
