@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.session import checkpointed
 
 LATTICE = {"min_dense": (0.0, 1.0, 21), "min_coverage": (0.0, 0.8, 17), "min_coverage_high": (0.0, 1.0, 21)}
 
@@ -34,10 +37,32 @@ def gate_metrics(cases: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def percentile(values: Column, p: float) -> Column:
-    """The value at position int(n * p) of the sorted values, the last at most; exact, for small groups."""
-    held = F.array_sort(F.collect_list(values))
-    return F.element_at(held, F.least(F.size(held), F.floor(F.size(held) * F.lit(p)).cast("int") + 1))
+def median_and_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
+    """(by, median, percentile): exact, for groups of any size; rows with a null value are left out.
+
+    The median is the mean of the two middle values, the percentile the value at position int(n * p) of the sorted values,
+    the last at most. Equal values are counted first; the distinct ones are sorted over range partitions, so that
+    no task holds a group. Only the sizes of the partitions by group are gathered.
+    """
+    picked = rows.select(F.col(by).alias("by"), F.col(value).alias("value")).where(F.col("value").isNotNull())
+    counts = picked.groupBy("by", "value").agg(F.count("*").alias("n"))
+    ranged = checkpointed(counts.repartitionByRange("by", "value").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("by", "part").agg(F.sum("n").alias("size"))
+    everything = Window.partitionBy("by")
+    before = F.sum("size").over(everything.orderBy("part")) - F.col("size")
+    starts = sizes.select(F.col("by").alias("of"), F.col("part").alias("in"), before.alias("before"), F.sum("size").over(everything).alias("total"))
+    placed = ranged.join(F.broadcast(starts), F.col("by").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))  # a row a partition and group
+    until = F.col("before") + F.sum("n").over(Window.partitionBy("by", "part").orderBy("value"))
+    spans = placed.withColumn("until", until).withColumn("since", F.col("until") - F.col("n"))
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("since") <= position) & (position < F.col("until")), F.col("value")))
+
+    total = F.col("total")
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    last = F.least(total - 1, F.floor(total * F.lit(p)))
+    found = spans.groupBy("by").agg(at(low).alias("low"), at(high).alias("high"), at(last).alias("percentile"))
+    return found.select(F.col("by").alias(by), (F.col("low") * 0.5 + F.col("high") * 0.5).alias("median"), "percentile")
 
 
 def lattice(spark) -> DataFrame:

@@ -526,8 +526,8 @@ def choose_threshold(spark: SparkSession, folder: str) -> DataFrame:
 )
 def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Median and 95th percentile of the measured values by kind of event."""
-    measured = table(spark, folder, "events").where("value IS NOT NULL")
-    return measured.groupBy("event_type").agg(F.median("value").alias("p50"), evaluation.percentile(F.col("value"), 0.95).alias("p95"))
+    found = evaluation.median_and_percentile(table(spark, folder, "events"), "event_type", "value", 0.95)
+    return found.select("event_type", F.col("median").alias("p50"), F.col("percentile").alias("p95"))
 
 
 @CORE.query(

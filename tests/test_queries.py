@@ -30,3 +30,31 @@ def test_against_sql(spark, sf, name):
     assert columns == sorted(want.columns)
     text = lambda df: sorted(map(tuple, df[columns].astype(str).to_numpy()))
     assert text(got) == text(want)
+
+
+def test_latency_percentiles_hold_no_group_in_one_task(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    got = core.queries()["latency_percentiles"](spark, sf)
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list(" not in plan and "median(" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(core.oracle_sql()["latency_percentiles"]).fetchall())
+
+
+def test_median_and_percentile_of_any_groups(spark):
+    import math
+    import random
+    from statistics import median
+
+    from lectern.plans import evaluation
+
+    rnd = random.Random(1)
+    groups = {None: [1.0, 2.0], "one": [3.0], "even": [rnd.random() for _ in range(40)], "same": [rnd.choice([1.0, 2.0, 5.0]) for _ in range(301)]}
+    rows = [(g, v) for g, values in groups.items() for v in [*values, None]] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.median, r.percentile) for r in evaluation.median_and_percentile(df, "g", "v", 0.95).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g] == (pytest.approx(median(values)), sorted(values)[min(len(values) - 1, math.floor(len(values) * 0.95))])
+    assert evaluation.median_and_percentile(df.where("false"), "g", "v", 0.95).count() == 0
