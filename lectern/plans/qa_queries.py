@@ -304,6 +304,13 @@ def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return _asked(spark, folder).select("question_id", hash_embedding(F.col("question")).alias("vector"))
 
 
+@CORE.query("hash_embedding_chunks")
+def hash_embeddings_of_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Model-free vectors of the texts of all chunks."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "text").distinct()
+    return chunks.select("chunk_id", hash_embedding(F.col("text")).alias("vector"))
+
+
 BM25_SQL = f"""WITH {sql.VISIBLE}, {sql.ASKED},
 stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM chunk_tokens),
 want AS (SELECT question_id, unnest(terms) AS term FROM question_terms),

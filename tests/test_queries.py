@@ -58,3 +58,12 @@ def test_median_and_percentile_of_any_groups(spark):
     for g, values in groups.items():
         assert got[g] == (pytest.approx(median(values)), sorted(values)[min(len(values) - 1, math.floor(len(values) * 0.95))])
     assert evaluation.median_and_percentile(df.where("false"), "g", "v", 0.95).count() == 0
+
+
+def test_hash_embedding_of_all_chunks(spark, sf):
+    import os
+
+    got = core.queries()["hash_embedding_chunks"](spark, sf).collect()
+    chunks = spark.read.parquet(os.path.join(sf, "chunks.parquet")).select("chunk_id", "text").distinct()
+    assert sorted(r.chunk_id for r in got) == sorted(r.chunk_id for r in chunks.collect())
+    assert all(len(r.vector) == 32 for r in got)
