@@ -144,7 +144,7 @@ class Graph:
         n = len(vectors)
         rng = np.random.default_rng(seed)
         level = np.floor(-np.log(1.0 - rng.random(n)) / np.log(links)).astype(np.int64)
-        order = np.argsort(-level, kind="stable")
+        order = np.lexsort((rng.random(n), -level))  # neighbours in the matrix must not be inserted together
         x = np.ascontiguousarray(vectors[order], dtype=np.float32)
         sizes = [int((level >= k).sum()) for k in range(int(level.max(initial=0)) + 1)]
         while len(sizes) > 1 and sizes[-1] < batch:

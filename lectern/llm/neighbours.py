@@ -1,12 +1,17 @@
 """Most similar vectors for every vector, by one navigable small-world graph per shard.
 
-Vectors are spread over shards of bounded size by a hash of their id. A shard's graph is built in one task, which also
-yields each vector's nearest within the shard. With several shards, each graph is then searched with the vectors of the
-other shards, block by block, and the results are merged.
+A shard is a cell of a coarse clustering whose centres are fitted on a bounded sample. Each vector is stored in the few
+cells whose centres are most like it, so that it shares a cell with most of its neighbours; a cell's graph is built in
+one task, which also yields the nearest of each of its vectors within the cell. The results of a vector's cells are
+merged. The number of cells follows the number of vectors, so that cells, tasks and the work for a vector stay
+of one size, and no vector meets a graph of another part of the space.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +21,13 @@ from pyspark.sql.window import Window
 from lectern.llm.hnsw import Graph
 from lectern.session import checkpointed
 
+#: Vectors of a space from which the centres of its cells are fitted: at most this many, and this many bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 32_000_000
+#: Sampled vectors that a centre needs; beyond as many cells as the sample allows, cells grow.
+SAMPLE_PER_CELL = 50
+#: Parts that the keys of a much repeated vector are spread over in a join.
+SALTS = 32
+
 
 def usable(vector: Column, dim: Column) -> Column:
     """Whether a vector has the stated length, no null, NaN or infinite value, and is not zero."""
@@ -31,102 +43,202 @@ def latest_vectors(rows: DataFrame, space: str, key: str, vector: str, dim: str,
     return picked.groupBy("space", "key").agg(best).select("space", "best.dim", "key", "best.vector")
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]) if column.num_chunks else np.zeros(0)
-    x = flat.astype(np.float64).reshape(-1, dim)
-    scale = np.abs(x).max(1, keepdims=True)
-    x = x / scale
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-
-
-def _neighbour_rows(space: str, dim: int, keys: pa.Array, names: pa.Array, ids: np.ndarray, sims: np.ndarray) -> dict:
-    row, column = np.nonzero(ids >= 0)
-    return {
-        "space": pa.array([space] * len(row), pa.string()),
-        "dim": pa.array(np.full(len(row), dim), pa.int32()),
-        "key": keys.take(pa.array(row)),
-        "other": names.take(pa.array(ids[row, column])),
-        "similarity": pa.array(np.clip(sims[row, column], -1, 1).astype(np.float64)),
-    }
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of unit length, rounded so that copies of a vector at any scale become equal."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.round(x, 7).astype(np.float32) + np.float32(0)  # no negative zero
+
+
+def _copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of every distinct row, number of the distinct row of each row)."""
+    flat = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    _, first, of = np.unique(flat, return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+def _digest(row: np.ndarray) -> bytes:
+    return hashlib.blake2b(row.tobytes(), digest_size=16).digest()
+
+
+def cell_centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Centres of a spherical k-means of unit vectors; fewer where there are fewer distinct vectors."""
+    x = x[np.sort(_copies(x)[0])]
+    rng = np.random.default_rng(0)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([(x[at : at + 4096] @ centres.T).argmax(1) for at in range(0, len(x), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def _fitted(vectors: DataFrame, per_cell: int, copies: int) -> dict[str, tuple[int, int, np.ndarray]]:
+    """"dim space" → (first cell number, dim, centres), by counts of all rows and a bounded sample spread by a hash."""
+    counts = vectors.groupBy("space", "dim").count().orderBy("space", "dim").collect()  # a row for each model
+    out, first = {}, 0
+    for r in counts:
+        space, dim, n = r["space"], r["dim"], r["count"]
+        most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * dim)))
+        cells = max(1, min(-(-n * copies // per_cell) if n > per_cell else 1, most // SAMPLE_PER_CELL))
+        centres = np.zeros((1, dim), dtype=np.float32)
+        if cells > 1:
+            every = max(1, n // min(most, cells * 4 * SAMPLE_PER_CELL))
+            mine = vectors.where((F.col("space") == space) & (F.col("dim") == dim) & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0))
+            taken = mine.select("vector").limit(2 * most).toArrow()
+            centres = cell_centres(_matrix(taken["vector"], dim), cells) if taken.num_rows else centres
+        out[f"{dim} {space}"] = (first, dim, centres)
+        first += len(centres)
+    return out
+
+
+def _emitted(held: dict[bytes, list], x: np.ndarray, keys: list, keep: int) -> tuple[np.ndarray, dict[int, bytes]]:
+    """(mask of the rows that go to the cells, digest of the others): of a vector repeated in a batch only rows with fewer
+    than ``keep`` smaller keys so far."""
+    mask, digests = np.ones(len(x), dtype=bool), {}
+    first, of = _copies(x)
+    size = np.bincount(of, minlength=len(first))
+    for c in np.flatnonzero(size > 1).tolist():
+        name = _digest(x[first[c]])
+        best = held.setdefault(name, [])
+        for i in sorted(np.flatnonzero(of == c).tolist(), key=keys.__getitem__):
+            if len(best) >= keep and best[-1] < keys[i]:
+                mask[i], digests[i] = False, name
+            else:
+                best.append(keys[i])
+                best.sort()
+                del best[keep:]
+    return mask, digests
+
+
+def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]], kind: str, k: int, copies: int) -> DataFrame:
+    """(cell, key, vector) of every vector for each of its cells; keys of a much repeated vector beyond the ``k + 1`` smallest
+    come with cell -1, without the vector but with its digest."""
+    held = vectors.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated: dict[str, dict[bytes, list]] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                part = batch.take(pa.array(np.flatnonzero(codes == code)))
+                first, dim, centres = held.value[name]
+                x, keys = _matrix(part.column(2), dim), part.column(1)
+                mask, digests = _emitted(repeated.setdefault(name, {}), x, keys.to_pylist(), k + 1)
+                own = np.flatnonzero(mask)
+                near = x[own] @ centres.T
+                m = min(copies, len(centres))
+                cells = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(centres) else np.broadcast_to(np.arange(m), (len(own), m))
+                row = np.repeat(own, m)
+                rest = np.array(sorted(digests), dtype=np.int64)
+                taken = pa.array(np.r_[row, rest])
+                vector = part.column(2).take(pa.array(np.r_[row, rest], mask=np.r_[np.zeros(len(row), bool), np.ones(len(rest), bool)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[cells.ravel() + first, np.full(len(rest), -1)], pa.int32()), pa.nulls(len(taken), pa.int32()).fill_null(dim),
+                     keys.take(taken), vector, pa.array([None] * len(row) + [digests[i] for i in rest.tolist()], pa.binary()), pa.array([name] * len(taken), pa.string())],
+                    names=["cell", "dim", "key", "vector", "digest", "name"],
+                )
+
+    named = vectors.select(F.concat_ws(" ", F.col("dim").cast("string"), "space").alias("name"), "key", "vector")
+    return named.mapInArrow(run, f"cell int, dim int, key {kind}, vector array<float>, digest binary, name string")
+
+
+def _within(keys: pa.Array, x: np.ndarray, k: int, links: int, ef: int) -> tuple[list[np.ndarray], list[np.ndarray], dict[bytes, np.ndarray]]:
+    """(positions, similarities) of the ``k`` nearest other keys of each, and the ``k`` first of every vector with more than
+    ``k`` keys, by digest; keys are sorted. Each distinct vector is one node of the graph."""
+    first, of = _copies(x)
+    _, near, sims = Graph.build(x[first], k, links, ef)
+    order = np.argsort(of, kind="stable")
+    starts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(first)))]
+    single = np.diff(starts) == 1
+    plain = single & np.where(near >= 0, single[np.maximum(near, 0)], True).all(1)
+    spot = order[starts[:-1]]
+    ids, values, groups = [], [], {}
+    for i, c in enumerate(of.tolist()):
+        if plain[c]:
+            good = near[c] >= 0
+            ids.append(spot[near[c][good]])
+            values.append(sims[c][good])
+            continue
+        own = order[starts[c] : min(starts[c + 1], starts[c] + k + 1)]
+        others = [j for j in own.tolist() if j != i][:k]
+        like = [1.0] * len(others)
+        for d, s in zip(near[c].tolist(), sims[c].tolist()):
+            if d >= 0 and len(others) < k:
+                more = order[starts[d] : min(starts[d + 1], starts[d] + k - len(others))].tolist()
+                others += more
+                like += [s] * len(more)
+        ids.append(np.array(others, dtype=np.int64))
+        values.append(np.array(like, dtype=np.float32))
+        if len(own) > k and (name := _digest(x[i])) not in groups:
+            groups[name] = own[:k]
+    return ids, values, groups
 
 
 def nearest_vectors(
-    vectors: DataFrame, k: int = 5, links: int = 16, ef: int = 96, per_shard: int = 131_072
+    vectors: DataFrame, k: int = 5, least: float = -1.0, links: int = 16, ef: int = 48, per_cell: int = 8_192, copies: int = 3
 ) -> DataFrame:
-    """(space, dim, key, other, similarity, rank): for each vector the ``k`` most similar others of its space and length.
+    """(space, dim, key, other, similarity, rank): for each vector the ``k`` most similar others of its space and length, as
+    far as their similarity is ``least`` or more.
 
     vectors has distinct (space, key) with columns space, dim, key and vector, all usable. Similarity is the cosine;
     ties of rank go to the smaller key. A vector alone in its space has no row. The result is approximate: ``ef`` is the
-    width of the search and ``links`` the number of links that a node gives. The shards of a space
-    follow its number of vectors; spaces, of which there are few, are counted on the driver.
+    width of the search, ``links`` the number of links that a node gives, ``copies`` the number of cells that hold
+    a vector and ``per_cell`` the vectors a cell holds on average. Spaces, of which there are few, are counted on the driver.
+
+    Copies of a vector are one node. Of their keys only those that can be among the ``k`` nearest of any other are
+    sent to the cells; the rest get their neighbours, copies too, by a salted join on the vector's digest.
     """
     kind = vectors.schema["key"].dataType.simpleString()
-    counts = {(r["space"], r["dim"]): r["count"] for r in vectors.groupBy("space", "dim").count().collect()}
-    if not counts:
+    models = _fitted(vectors, per_cell, copies)
+    if not models:
         empty = f"space string, dim int, key {kind}, other {kind}, similarity double, rank int"
         return vectors.sparkSession.createDataFrame([], empty)
-    shards = {space: -(-n // per_shard) for space, n in counts.items()}
-    table = F.create_map(*(F.lit(x) for (space, dim), s in shards.items() for x in (f"{dim} {space}", s)))
-    placed = vectors.withColumn("shards", table[F.concat_ws(" ", "dim", "space")]).withColumn(
-        "shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")
-    )
-    several = max(shards.values()) > 1
+    cells = sum(len(c) for _, _, c in models.values())
+    placed = _placed(vectors, models, kind, k, copies)
+    spread = placed.where("cell >= 0").select("cell", "dim", "key", "vector", "name").repartition(max(8, cells), "cell")
 
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("key")
-        space, dim, shard = rows["space"][0].as_py(), rows["dim"][0].as_py(), rows["shard"][0].as_py()
-        keys = rows["key"].combine_chunks()
-        graph, ids, sims = Graph.build(_matrix(rows["vector"], dim), k, links, ef)
-        out = _neighbour_rows(space, dim, keys, keys, ids, sims)
-        n = len(out["space"])
-        out |= {"shard": pa.array(np.full(n, shard), pa.int32()), "graph": pa.nulls(n, pa.binary()), "keys": pa.nulls(n, pa.list_(keys.type))}
-        found = pa.table(out)
-        if rows["shards"][0].as_py() > 1:
+        keys, dim, name = rows["key"].combine_chunks(), rows["dim"][0].as_py(), rows["name"][0].as_py()
+        ids, sims, groups = _within(keys, _matrix(rows["vector"], dim), k, links, ef)
+        good = [s >= least for s in sims]
+        sizes = np.array([g.sum() for g in good], dtype=np.int64)
+        row = np.flatnonzero(sizes)
+        flat = lambda parts, kind: np.concatenate([p[g] for p, g in zip(parts, good)]).astype(kind) if len(parts) else np.zeros(0, kind)
+        at = pa.array(np.r_[0, np.cumsum(sizes[row])].astype(np.int32))
+        others = pa.ListArray.from_arrays(at, keys.take(pa.array(flat(ids, np.int64))))
+        values = pa.ListArray.from_arrays(at, pa.array(np.clip(flat(sims, np.float64), -1, 1)))
+        found = {"key": keys.take(pa.array(row)), "others": others, "sims": values, "digest": pa.nulls(len(row), pa.binary())}
+        if groups:
             held = {
-                "space": [space], "dim": pa.array([dim], pa.int32()), "key": pa.nulls(1, keys.type), "other": pa.nulls(1, keys.type),
-                "similarity": pa.nulls(1, pa.float64()), "shard": pa.array([shard], pa.int32()),
-                "graph": [graph.to_bytes()], "keys": pa.array([keys.to_pylist()], pa.list_(keys.type)),
+                "key": pa.nulls(len(groups), keys.type), "others": pa.array([keys.take(pa.array(g)).to_pylist() for g in groups.values()], pa.list_(keys.type)),
+                "sims": pa.array([[1.0] * len(g) for g in groups.values()], pa.list_(pa.float64())), "digest": pa.array(list(groups), pa.binary()),
             }
-            found = pa.concat_tables([found, pa.table(held)])
-        return found
-
-    schema = f"space string, dim int, key {kind}, other {kind}, similarity double, shard int, graph binary, keys array<{kind}>"
-    tasks = max(8, 2 * sum(shards.values()))
-    built = placed.repartition(tasks, "space", "dim", "shard").groupBy("space", "dim", "shard").applyInArrow(build, schema)
-    columns = ["space", "dim", "key", "other", "similarity"]
-    if several:
-        built = checkpointed(built)
-        found = built.where(F.col("graph").isNull()).select(columns)
-        found = found.unionByName(_other_shards(built, placed, kind, k, ef))
-    else:
-        found = built.select(columns)
-    order = Window.partitionBy("space", "dim", "key").orderBy(F.desc("similarity"), "other")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _other_shards(built: DataFrame, placed: DataFrame, kind: str, k: int, ef: int) -> DataFrame:
-    """Nearest of every vector in each shard but its own; a task holds one graph and the vectors of one shard."""
-    pair = ["space", "dim", "shard", "block"]
-    sizes = placed.select("space", "dim", "shards").distinct()
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda i: i != F.col("shard")))
-    graphs = built.where(F.col("graph").isNotNull()).join(sizes, ["space", "dim"]).select("space", "dim", "shard", "graph", "keys", others.alias("block"))
-    blocks = placed.where("shards > 1").select("space", "dim", F.col("shard").alias("block"), "key", "vector", others.alias("shard"))
-
-    def search(graph: pa.Table, block: pa.Table) -> pa.Table:
-        empty = {"space": pa.array([], pa.string())}
-        if not graph.num_rows or not block.num_rows:
-            types = {"dim": pa.int32(), "key": block["key"].type, "other": block["key"].type, "similarity": pa.float64()}
-            return pa.table(empty | {n: pa.array([], t) for n, t in types.items()})
-        names = graph["keys"].combine_chunks().flatten()
-        dim = graph["dim"][0].as_py()
-        ids, sims = Graph.from_bytes(graph["graph"][0].as_py()).search(_matrix(block["vector"], dim), k, ef)
-        return pa.table(_neighbour_rows(graph["space"][0].as_py(), dim, block["key"].combine_chunks(), names, ids, sims))
-
-    return (
-        graphs.groupBy(*pair)
-        .cogroup(blocks.groupBy(*pair))
-        .applyInArrow(search, f"space string, dim int, key {kind}, other {kind}, similarity double")
-    )
+            found = {c: pa.concat_arrays([found[c].cast(held[c].type), held[c]]) for c in found}
+        n = len(found["key"])
+        return pa.table(found | {"name": pa.array([name] * n, pa.string())})
+
+    schema = f"key {kind}, others array<{kind}>, sims array<double>, digest binary, name string"
+    built = checkpointed(spread.groupBy("cell").applyInArrow(build, schema))  # read three times below
+    found = built.where("digest IS NULL").select("name", "key", "others", "sims")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")
+    rest = placed.where("cell < 0").select("name", "digest", "key", salt)
+    groups = built.where("digest IS NOT NULL").groupBy("name", "digest").agg(F.first("others").alias("others"), F.first("sims").alias("sims"))
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = found.unionByName(rest.join(salted, ["name", "digest", "salt"]).select("name", "key", "others", "sims"))
+    pairs = found.select("name", "key", F.inline(F.arrays_zip("others", "sims"))).withColumnsRenamed({"others": "other", "sims": "similarity"})
+    once = pairs.groupBy("name", "key", "other").agg(F.max("similarity").alias("similarity"))
+    order = Window.partitionBy("name", "key").orderBy(F.desc("similarity"), "other")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = F.split("name", " ", 2)
+    return ranked.select(named[1].alias("space"), named[0].cast("int").alias("dim"), "key", "other", "similarity", "rank")
 
 
 def mutual_pairs(nearest: DataFrame, least: float) -> DataFrame:

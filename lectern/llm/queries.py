@@ -60,9 +60,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.select("passage_id", "char_start", "char_end").distinct()
 
 
-def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+def _nearest(spark: SparkSession, folder: str, least: float = -1.0) -> DataFrame:
     cache = table(spark, folder, "embedding_cache")
-    return nearest_vectors(latest_vectors(cache, "model_id", "input_hash", "vector", "dim", "created_at"))
+    return nearest_vectors(latest_vectors(cache, "model_id", "input_hash", "vector", "dim", "created_at"), least=least)
 
 
 @LLM.query("p4_found")
@@ -71,7 +71,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
     The comparison leaves room for the rounding of single precision.
     """
-    pairs = mutual_pairs(_nearest(spark, folder), 0.95 - 1e-6)
+    pairs = mutual_pairs(_nearest(spark, folder, 0.95 - 1e-6), 0.95 - 1e-6)
     return pairs.select(F.col("space").alias("model_id"), F.col("a").alias("input_hash_a"), F.col("b").alias("input_hash_b"))
 
 

@@ -137,8 +137,8 @@ def test_graph_recall_and_round_trip():
     assert (again.search(x[:50], 1)[0][:, 0] == np.arange(50)).mean() > 0.95
 
 
-@pytest.mark.parametrize("per_shard", [131_072, 20])
-def test_nearest_vectors(spark, per_shard):
+@pytest.mark.parametrize("per_cell", [8_192, 60])
+def test_nearest_vectors(spark, per_cell):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(90, 4))
     rows = [("m", f"k{i:02}", 4, [float(v) for v in r], i) for i, r in enumerate(x)]
@@ -146,7 +146,7 @@ def test_nearest_vectors(spark, per_shard):
     df = spark.createDataFrame(rows, "model string, hash string, dim int, vector array<float>, at int")
     vectors = neighbours.latest_vectors(df, "model", "hash", "vector", "dim", "at")
     assert vectors.count() == 91
-    got = neighbours.nearest_vectors(vectors, k=3, per_shard=per_shard).collect()
+    got = neighbours.nearest_vectors(vectors, k=3, per_cell=per_cell, copies=4).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = unit @ unit.T
     np.fill_diagonal(s, -2)
@@ -155,6 +155,39 @@ def test_nearest_vectors(spark, per_shard):
     assert neighbours.nearest_vectors(vectors.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 8, 64])
+def test_recall_over_several_cells(spark, cells):
+    rng = np.random.default_rng(3)
+    n, dim = 6_400, 24
+    x = rng.normal(size=(n, dim)) + 1.5 * rng.normal(size=(80, dim))[rng.integers(0, 80, n)]
+    df = spark.createDataFrame([("m", dim, f"k{i:05}", r.tolist()) for i, r in enumerate(x)], "space string, dim int, key string, vector array<float>")
+    per_cell = 3 * n // cells if cells > 1 else n
+    got = neighbours.nearest_vectors(df, k=5, per_cell=per_cell).collect()
+    s = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T
+    np.fill_diagonal(s, -2)
+    near = np.argpartition(-s, 4, axis=1)[:, :5]
+    true = {(f"k{i:05}", f"k{j:05}") for i in range(n) for j in near[i]}
+    assert len(got) == 5 * n and len({(r.key, r.other) for r in got} & true) >= 0.9 * len(true)
+
+
+def test_copies_of_a_vector_are_nearest_to_each_other(spark):
+    rng = np.random.default_rng(4)
+    rows = [("m", 3, f"c{i:03}", [2.0, 0.0, 1.0]) for i in range(300)] + [("m", 3, f"d{i}", [4.0, 0.0, 2.0]) for i in range(3)]
+    rows += [("m", 3, f"r{i:03}", r.tolist()) for i, r in enumerate(rng.normal(size=(100, 3)))]
+    df = spark.createDataFrame(rows, "space string, dim int, key string, vector array<float>").repartition(2)
+    for per_cell in (8_192, 80):
+        got = neighbours.nearest_vectors(df, k=5, per_cell=per_cell).collect()
+        found = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            found.setdefault(r.key, []).append(r.other)
+        assert len(found) == 403 and {len(v) for v in found.values()} == {5}
+        first = [f"c{i:03}" for i in range(6)]
+        for key in [f"c{i:03}" for i in range(300)] + ["d0", "d1", "d2"]:
+            assert found[key] == [c for c in first if c != key][:5]
+        only = neighbours.nearest_vectors(df, k=5, least=0.9999, per_cell=per_cell).where("key >= 'c' and key < 'r'").count()
+        assert only == 303 * 5
+
+
 def test_leaks(spark):
     item = "which of the blue lamps must the night porter carry to the old mill before the third bell rings twice"
     words = item.split()
