@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 NONE = -1
+#: Marks of nodes seen, one for each query and node, that a search holds at a time.
+MARKED = 1 << 25
 
 
 def _ranked(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +63,11 @@ class Layer:
 
     def search(self, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sims) of the ``ef`` best nodes found for every query, from its entry nodes; best first."""
+        step = max(16, MARKED // max(1, self.size))
+        parts = [self._search(x, q[at : at + step], entry[at : at + step], ef, width) for at in range(0, len(q), step)]
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts))
+
+    def _search(self, x: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, count = self.size, len(q)
         seen = np.zeros(count * n, dtype=bool)
         ids = np.full((count, ef), NONE, dtype=np.int32)
@@ -134,12 +141,12 @@ class Graph:
 
     @classmethod
     def build(
-        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 256, seed: int = 0
+        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 2_048, seed: int = 0
     ) -> tuple[Graph, np.ndarray, np.ndarray]:
         """(graph, ids, sims): also the ``keep`` nearest other rows of every row as met during the insertion.
 
         Each insertion meets the nearest of the earlier nodes and is itself met by later ones, so that one search
-        for each row serves both sides of every pair.
+        for each row serves both sides of every pair. The rows of a batch are compared with each other in one product.
         """
         n = len(vectors)
         rng = np.random.default_rng(seed)
@@ -147,7 +154,7 @@ class Graph:
         order = np.lexsort((rng.random(n), -level))  # neighbours in the matrix must not be inserted together
         x = np.ascontiguousarray(vectors[order], dtype=np.float32)
         sizes = [int((level >= k).sum()) for k in range(int(level.max(initial=0)) + 1)]
-        while len(sizes) > 1 and sizes[-1] < batch:
+        while len(sizes) > 1 and sizes[-1] < 4 * links:
             sizes.pop()
         layers: list[Layer] = []
         graph = cls(x, order, layers, links)

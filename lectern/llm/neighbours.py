@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,12 +36,16 @@ def usable(vector: Column, dim: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & (dim > 0) & ~bad & F.exists(vector, lambda v: v != 0)
 
 
-def latest_vectors(rows: DataFrame, space: str, key: str, vector: str, dim: str, created: str) -> DataFrame:
-    """(space, dim, key, vector): the usable vector of each key and space stored last; equal times go to the greater vector."""
+def usable_vectors(rows: DataFrame, space: str, key: str, vector: str, dim: str, created: str) -> DataFrame:
+    """(space, dim, key, vector, at) of all rows with a usable vector and neither key nor space null."""
     good = rows.where(usable(F.col(vector), F.col(dim)) & F.col(key).isNotNull() & F.col(space).isNotNull())
-    picked = good.select(F.col(space).alias("space"), F.col(key).alias("key"), F.col(dim).cast("int").alias("dim"), F.col(created).alias("at"), F.col(vector).alias("vector"))
+    return good.select(F.col(space).alias("space"), F.col(dim).cast("int").alias("dim"), F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(created).alias("at"))
+
+
+def latest_vectors(good: DataFrame) -> DataFrame:
+    """(space, dim, key, vector): of usable vectors the one of each key and space stored last; equal times go to the greater."""
     best = F.max(F.struct("at", "dim", "vector")).alias("best")
-    return picked.groupBy("space", "key").agg(best).select("space", "best.dim", "key", "best.vector")
+    return good.groupBy("space", "key").agg(best).select("space", "best.dim", "key", "best.vector")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -79,7 +84,7 @@ def cell_centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
 
 
 def _fitted(vectors: DataFrame, per_cell: int, copies: int) -> dict[str, tuple[int, int, np.ndarray]]:
-    """"dim space" → (first cell number, dim, centres), by counts of all rows and a bounded sample spread by a hash."""
+    """"dim space" → (first cell number, dim, centres), by counts of all rows and a bounded sample spread by a hash of the key."""
     counts = vectors.groupBy("space", "dim").count().orderBy("space", "dim").collect()  # a row for each model
     out, first = {}, 0
     for r in counts:
@@ -118,11 +123,12 @@ def _emitted(held: dict[bytes, list], x: np.ndarray, keys: list, keep: int) -> t
 
 def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]], kind: str, k: int, copies: int) -> DataFrame:
     """(cell, key, vector) of every vector for each of its cells; keys of a much repeated vector beyond the ``k + 1`` smallest
-    come with cell -1, without the vector but with its digest."""
+    come with cell -1, without the vector but with its digest. One row with the digest alone tells the nearest cell of it."""
     held = vectors.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated: dict[str, dict[bytes, list]] = {}
+        told: set[tuple[str, bytes]] = set()
         for batch in batches:
             names = batch.column(0).dictionary_encode()
             codes = names.indices.to_numpy(zero_copy_only=False)
@@ -137,21 +143,30 @@ def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]],
                 cells = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(centres) else np.broadcast_to(np.arange(m), (len(own), m))
                 row = np.repeat(own, m)
                 rest = np.array(sorted(digests), dtype=np.int64)
-                taken = pa.array(np.r_[row, rest])
-                vector = part.column(2).take(pa.array(np.r_[row, rest], mask=np.r_[np.zeros(len(row), bool), np.ones(len(rest), bool)]))
+                signs = [i for d, i in {d: i for i, d in digests.items()}.items() if (name, d) not in told]
+                told.update((name, digests[i]) for i in signs)
+                home = (x[signs] @ centres.T).argmax(1) + first if signs else []
+                full, light, alone = len(row), len(rest), len(signs)
+                at = np.r_[row, rest, signs].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[cells.ravel() + first, np.full(len(rest), -1)], pa.int32()), pa.nulls(len(taken), pa.int32()).fill_null(dim),
-                     keys.take(taken), vector, pa.array([None] * len(row) + [digests[i] for i in rest.tolist()], pa.binary()), pa.array([name] * len(taken), pa.string())],
+                    [
+                        pa.array(np.r_[cells.ravel() + first, np.full(light, -1), home].astype(np.int32)),
+                        pa.array(np.full(len(at), dim), pa.int32()),
+                        keys.take(pa.array(at, mask=np.arange(len(at)) >= full + light)),
+                        part.column(2).take(pa.array(at, mask=np.arange(len(at)) >= full)),
+                        pa.array([None] * full + [digests[i] for i in at[full:].tolist()], pa.binary()),
+                        pa.array([name] * len(at), pa.string()),
+                    ],
                     names=["cell", "dim", "key", "vector", "digest", "name"],
-                )
+                )
 
     named = vectors.select(F.concat_ws(" ", F.col("dim").cast("string"), "space").alias("name"), "key", "vector")
     return named.mapInArrow(run, f"cell int, dim int, key {kind}, vector array<float>, digest binary, name string")
 
 
-def _within(keys: pa.Array, x: np.ndarray, k: int, links: int, ef: int) -> tuple[list[np.ndarray], list[np.ndarray], dict[bytes, np.ndarray]]:
-    """(positions, similarities) of the ``k`` nearest other keys of each, and the ``k`` first of every vector with more than
-    ``k`` keys, by digest; keys are sorted. Each distinct vector is one node of the graph."""
+def _within(x: np.ndarray, asked: set[bytes], k: int, links: int, ef: int) -> tuple[list[np.ndarray], list[np.ndarray], dict[bytes, np.ndarray]]:
+    """(positions, similarities) of the ``k`` nearest other rows of each, and the ``k`` first rows of every vector asked for
+    by its digest. Each distinct vector is one node of the graph."""
     first, of = _copies(x)
     _, near, sims = Graph.build(x[first], k, links, ef)
     order = np.argsort(of, kind="stable")
@@ -176,13 +191,20 @@ def _within(keys: pa.Array, x: np.ndarray, k: int, links: int, ef: int) -> tuple
                 like += [s] * len(more)
         ids.append(np.array(others, dtype=np.int64))
         values.append(np.array(like, dtype=np.float32))
-        if len(own) > k and (name := _digest(x[i])) not in groups:
+        if asked and len(own) > k and (name := _digest(x[i])) in asked:
             groups[name] = own[:k]
     return ids, values, groups
 
 
 def nearest_vectors(
-    vectors: DataFrame, k: int = 5, least: float = -1.0, links: int = 16, ef: int = 48, per_cell: int = 8_192, copies: int = 3
+    vectors: DataFrame,
+    k: int = 5,
+    least: float = -1.0,
+    links: int = 16,
+    ef: int = 40,
+    per_cell: int = 4_096,
+    copies: int = 3,
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """(space, dim, key, other, similarity, rank): for each vector the ``k`` most similar others of its space and length, as
     far as their similarity is ``least`` or more.
@@ -191,23 +213,27 @@ def nearest_vectors(
     ties of rank go to the smaller key. A vector alone in its space has no row. The result is approximate: ``ef`` is the
     width of the search, ``links`` the number of links that a node gives, ``copies`` the number of cells that hold
     a vector and ``per_cell`` the vectors a cell holds on average. Spaces, of which there are few, are counted on the driver.
+    ``like`` are rows of the same columns by which the cells are counted and fitted, such as the rows from which
+    vectors were picked, where these are cheaper to read.
 
     Copies of a vector are one node. Of their keys only those that can be among the ``k`` nearest of any other are
     sent to the cells; the rest get their neighbours, copies too, by a salted join on the vector's digest.
     """
     kind = vectors.schema["key"].dataType.simpleString()
-    models = _fitted(vectors, per_cell, copies)
+    models = _fitted(vectors if like is None else like, per_cell, copies)
     if not models:
         empty = f"space string, dim int, key {kind}, other {kind}, similarity double, rank int"
         return vectors.sparkSession.createDataFrame([], empty)
     cells = sum(len(c) for _, _, c in models.values())
     placed = _placed(vectors, models, kind, k, copies)
-    spread = placed.where("cell >= 0").select("cell", "dim", "key", "vector", "name").repartition(max(8, cells), "cell")
+    spread = placed.where("cell >= 0").repartition(max(8, cells), "cell")
 
     def build(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("key")
-        keys, dim, name = rows["key"].combine_chunks(), rows["dim"][0].as_py(), rows["name"][0].as_py()
-        ids, sims, groups = _within(keys, _matrix(rows["vector"], dim), k, links, ef)
+        dim, name = rows["dim"][0].as_py(), rows["name"][0].as_py()
+        asked = set(rows["digest"].drop_null().to_pylist())
+        rows = rows.filter(pc.is_valid(rows["key"])).sort_by("key")
+        keys = rows["key"].combine_chunks()
+        ids, sims, groups = _within(_matrix(rows["vector"], dim), asked, k, links, ef)
         good = [s >= least for s in sims]
         sizes = np.array([g.sum() for g in good], dtype=np.int64)
         row = np.flatnonzero(sizes)
@@ -228,11 +254,12 @@ def nearest_vectors(
     schema = f"key {kind}, others array<{kind}>, sims array<double>, digest binary, name string"
     built = checkpointed(spread.groupBy("cell").applyInArrow(build, schema))  # read three times below
     found = built.where("digest IS NULL").select("name", "key", "others", "sims")
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")
-    rest = placed.where("cell < 0").select("name", "digest", "key", salt)
-    groups = built.where("digest IS NOT NULL").groupBy("name", "digest").agg(F.first("others").alias("others"), F.first("sims").alias("sims"))
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = found.unionByName(rest.join(salted, ["name", "digest", "salt"]).select("name", "key", "others", "sims"))
+    told = built.where("digest IS NOT NULL")
+    if not told.isEmpty():
+        rest = placed.where("cell < 0").select("name", "digest", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+        groups = told.groupBy("name", "digest").agg(F.first("others").alias("others"), F.first("sims").alias("sims"))
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = found.unionByName(rest.join(salted, ["name", "digest", "salt"]).select("name", "key", "others", "sims"))
     pairs = found.select("name", "key", F.inline(F.arrays_zip("others", "sims"))).withColumnsRenamed({"others": "other", "sims": "similarity"})
     once = pairs.groupBy("name", "key", "other").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("name", "key").orderBy(F.desc("similarity"), "other")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm.contamination import leaked_items
 from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
-from lectern.llm.neighbours import latest_vectors, mutual_pairs, nearest_vectors
+from lectern.llm.neighbours import latest_vectors, mutual_pairs, nearest_vectors, usable_vectors
 from lectern.llm.packing import pack
 from lectern.llm.quality import prose_probability, text_statistics
 from lectern.llm.quality import train as train_quality
@@ -61,8 +61,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, folder: str, least: float = -1.0) -> DataFrame:
-    cache = table(spark, folder, "embedding_cache")
-    return nearest_vectors(latest_vectors(cache, "model_id", "input_hash", "vector", "dim", "created_at"), least=least)
+    good = usable_vectors(table(spark, folder, "embedding_cache"), "model_id", "input_hash", "vector", "dim", "created_at")
+    return nearest_vectors(latest_vectors(good), least=least, like=good)
 
 
 @LLM.query("p4_found")

@@ -144,7 +144,7 @@ def test_nearest_vectors(spark, per_cell):
     rows = [("m", f"k{i:02}", 4, [float(v) for v in r], i) for i, r in enumerate(x)]
     rows += [("m", "zero", 4, [0.0] * 4, 1), ("m", "nan", 4, [float("nan")] * 4, 1), ("m", "short", 4, [1.0], 1), ("m", "none", 4, None, 1), ("m", "k00", 4, [1.0] * 4, -1), ("n", "alone", 4, [1.0] * 4, 1)]
     df = spark.createDataFrame(rows, "model string, hash string, dim int, vector array<float>, at int")
-    vectors = neighbours.latest_vectors(df, "model", "hash", "vector", "dim", "at")
+    vectors = neighbours.latest_vectors(neighbours.usable_vectors(df, "model", "hash", "vector", "dim", "at"))
     assert vectors.count() == 91
     got = neighbours.nearest_vectors(vectors, k=3, per_cell=per_cell, copies=4).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
