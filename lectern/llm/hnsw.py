@@ -141,12 +141,13 @@ class Graph:
 
     @classmethod
     def build(
-        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 2_048, seed: int = 0
+        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 2_048, seed: int = 0, searched: bool = True
     ) -> tuple[Graph, np.ndarray, np.ndarray]:
         """(graph, ids, sims): also the ``keep`` nearest other rows of every row as met during the insertion.
 
         Each insertion meets the nearest of the earlier nodes and is itself met by later ones, so that one search
         for each row serves both sides of every pair. The rows of a batch are compared with each other in one product.
+        A graph that will not be searched later goes without the links of its last batch.
         """
         n = len(vectors)
         rng = np.random.default_rng(seed)
@@ -179,7 +180,8 @@ class Graph:
                     old_ids, old_sims = layer.search(x, x[new], entry, ef)
                     ids, sims, _ = _best(np.concatenate([old_ids, ids], 1), np.concatenate([old_sims, sims], 1), ef)
                 layer.size = stop
-                layer.link(x, new, ids, sims, links)
+                if searched or stop < size or not base:
+                    layer.link(x, new, ids, sims, links)
                 if base:
                     graph._meet(new, ids, sims, best_ids, best_sims)
                 start = stop

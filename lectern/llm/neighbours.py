@@ -164,23 +164,19 @@ def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]],
     return named.mapInArrow(run, f"cell int, dim int, key {kind}, vector array<float>, digest binary, name string")
 
 
-def _within(x: np.ndarray, asked: set[bytes], k: int, links: int, ef: int) -> tuple[list[np.ndarray], list[np.ndarray], dict[bytes, np.ndarray]]:
-    """(positions, similarities) of the ``k`` nearest other rows of each, and the ``k`` first rows of every vector asked for
-    by its digest. Each distinct vector is one node of the graph."""
+def _within(x: np.ndarray, asked: set[bytes], k: int, links: int, ef: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, np.ndarray]]:
+    """(positions, similarities) of the ``k`` nearest other rows of each, padded with -1, and the ``k`` first rows of every
+    vector asked for by its digest. Each distinct vector is one node of the graph."""
     first, of = _copies(x)
-    _, near, sims = Graph.build(x[first], k, links, ef)
+    _, near, sims = Graph.build(x[first], k, links, ef, searched=False)
     order = np.argsort(of, kind="stable")
     starts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(first)))]
     single = np.diff(starts) == 1
     plain = single & np.where(near >= 0, single[np.maximum(near, 0)], True).all(1)
-    spot = order[starts[:-1]]
-    ids, values, groups = [], [], {}
-    for i, c in enumerate(of.tolist()):
-        if plain[c]:
-            good = near[c] >= 0
-            ids.append(spot[near[c][good]])
-            values.append(sims[c][good])
-            continue
+    ids = np.where(near >= 0, order[starts[:-1]][np.maximum(near, 0)], -1)[of]
+    values, groups = sims[of], {}
+    for i in np.flatnonzero(~plain[of]).tolist():  # copies, and neighbours of copies
+        c = of[i]
         own = order[starts[c] : min(starts[c + 1], starts[c] + k + 1)]
         others = [j for j in own.tolist() if j != i][:k]
         like = [1.0] * len(others)
@@ -189,8 +185,8 @@ def _within(x: np.ndarray, asked: set[bytes], k: int, links: int, ef: int) -> tu
                 more = order[starts[d] : min(starts[d + 1], starts[d] + k - len(others))].tolist()
                 others += more
                 like += [s] * len(more)
-        ids.append(np.array(others, dtype=np.int64))
-        values.append(np.array(like, dtype=np.float32))
+        ids[i], values[i] = -1, 0
+        ids[i, : len(others)], values[i, : len(others)] = others, like
         if asked and len(own) > k and (name := _digest(x[i])) in asked:
             groups[name] = own[:k]
     return ids, values, groups
@@ -234,13 +230,12 @@ def nearest_vectors(
         rows = rows.filter(pc.is_valid(rows["key"])).sort_by("key")
         keys = rows["key"].combine_chunks()
         ids, sims, groups = _within(_matrix(rows["vector"], dim), asked, k, links, ef)
-        good = [s >= least for s in sims]
-        sizes = np.array([g.sum() for g in good], dtype=np.int64)
+        good = (ids >= 0) & (sims >= least)
+        sizes = good.sum(1)
         row = np.flatnonzero(sizes)
-        flat = lambda parts, kind: np.concatenate([p[g] for p, g in zip(parts, good)]).astype(kind) if len(parts) else np.zeros(0, kind)
         at = pa.array(np.r_[0, np.cumsum(sizes[row])].astype(np.int32))
-        others = pa.ListArray.from_arrays(at, keys.take(pa.array(flat(ids, np.int64))))
-        values = pa.ListArray.from_arrays(at, pa.array(np.clip(flat(sims, np.float64), -1, 1)))
+        others = pa.ListArray.from_arrays(at, keys.take(pa.array(ids[good])))
+        values = pa.ListArray.from_arrays(at, pa.array(np.clip(sims[good].astype(np.float64), -1, 1)))
         found = {"key": keys.take(pa.array(row)), "others": others, "sims": values, "digest": pa.nulls(len(row), pa.binary())}
         if groups:
             held = {
