@@ -141,7 +141,7 @@ class Graph:
 
     @classmethod
     def build(
-        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 2_048, seed: int = 0, searched: bool = True
+        cls, vectors: np.ndarray, keep: int, links: int = 16, ef: int = 96, batch: int = 3_072, seed: int = 0, searched: bool = True
     ) -> tuple[Graph, np.ndarray, np.ndarray]:
         """(graph, ids, sims): also the ``keep`` nearest other rows of every row as met during the insertion.
 

@@ -121,7 +121,7 @@ def _emitted(held: dict[bytes, list], x: np.ndarray, keys: list, keep: int) -> t
     return mask, digests
 
 
-def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]], kind: str, k: int, copies: int, slack: float) -> DataFrame:
+def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]], kind: str, k: int, copies: int) -> DataFrame:
     """(cell, key, vector) of every vector for each of its cells; keys of a much repeated vector beyond the ``k + 1`` smallest
     come with cell -1, without the vector but with its digest. One row with the digest alone tells the nearest cell of it."""
     held = vectors.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
@@ -141,8 +141,7 @@ def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]],
                 near = x[own] @ centres.T
                 m = min(copies, len(centres))
                 cells = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(centres) else np.broadcast_to(np.arange(m), (len(own), m))
-                fits = np.take_along_axis(near, cells, 1) >= near.max(1, keepdims=True) - slack
-                row, cells = np.repeat(own, fits.sum(1)), cells[fits]
+                row = np.repeat(own, m)
                 rest = np.array(sorted(digests), dtype=np.int64)
                 signs = [i for d, i in {d: i for i, d in digests.items()}.items() if (name, d) not in told]
                 told.update((name, digests[i]) for i in signs)
@@ -151,18 +150,17 @@ def _placed(vectors: DataFrame, models: dict[str, tuple[int, int, np.ndarray]],
                 at = np.r_[row, rest, signs].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[cells + first, np.full(light, -1), home].astype(np.int32)),
-                        pa.array(np.full(len(at), dim), pa.int32()),
+                        pa.array(np.r_[cells.ravel() + first, np.full(light, -1), home].astype(np.int32)),
                         keys.take(pa.array(at, mask=np.arange(len(at)) >= full + light)),
                         part.column(2).take(pa.array(at, mask=np.arange(len(at)) >= full)),
                         pa.array([None] * full + [digests[i] for i in at[full:].tolist()], pa.binary()),
                         pa.array([name] * len(at), pa.string()),
                     ],
-                    names=["cell", "dim", "key", "vector", "digest", "name"],
+                    names=["cell", "key", "vector", "digest", "name"],
                 )
 
     named = vectors.select(F.concat_ws(" ", F.col("dim").cast("string"), "space").alias("name"), "key", "vector")
-    return named.mapInArrow(run, f"cell int, dim int, key {kind}, vector array<float>, digest binary, name string")
+    return named.mapInArrow(run, f"cell int, key {kind}, vector array<float>, digest binary, name string")
 
 
 def _within(x: np.ndarray, asked: set[bytes], k: int, links: int, ef: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, np.ndarray]]:
@@ -198,10 +196,9 @@ def nearest_vectors(
     k: int = 5,
     least: float = -1.0,
     links: int = 16,
-    ef: int = 40,
+    ef: int = 36,
     per_cell: int = 4_096,
     copies: int = 3,
-    slack: float = 0.16,
     like: DataFrame | None = None,
 ) -> DataFrame:
     """(space, dim, key, other, similarity, rank): for each vector the ``k`` most similar others of its space and length, as
@@ -209,9 +206,8 @@ def nearest_vectors(
 
     vectors has distinct (space, key) with columns space, dim, key and vector, all usable. Similarity is the cosine;
     ties of rank go to the smaller key. A vector alone in its space has no row. The result is approximate: ``ef`` is the
-    width of the search, ``links`` the number of links that a node gives, ``copies`` the most cells that hold
-    a vector, further ones than the nearest only if their centres are less similar to it by at most ``slack``, and
-    ``per_cell`` the vectors a cell holds on average. Spaces, of which there are few, are counted on the driver.
+    width of the search, ``links`` the number of links that a node gives, ``copies`` the number of cells that hold
+    a vector and ``per_cell`` the vectors a cell holds on average. Spaces, of which there are few, are counted on the driver.
     ``like`` are rows of the same columns by which the cells are counted and fitted, such as the rows from which
     vectors were picked, where these are cheaper to read.
 
@@ -224,11 +220,13 @@ def nearest_vectors(
         empty = f"space string, dim int, key {kind}, other {kind}, similarity double, rank int"
         return vectors.sparkSession.createDataFrame([], empty)
     cells = sum(len(c) for _, _, c in models.values())
-    placed = _placed(vectors, models, kind, k, copies, slack)
-    spread = placed.where("cell >= 0").repartition(max(8, cells), "cell")
+    placed = _placed(vectors, models, kind, k, copies)
+    spread = placed.where("cell >= 0").drop("name").repartition(max(8, cells), "cell")
+
+    ends = [(first + len(c), name, dim) for name, (first, dim, c) in models.items()]
 
     def build(rows: pa.Table) -> pa.Table:
-        dim, name = rows["dim"][0].as_py(), rows["name"][0].as_py()
+        name, dim = next((n, d) for last, n, d in ends if rows["cell"][0].as_py() < last)
         asked = set(rows["digest"].drop_null().to_pylist())
         rows = rows.filter(pc.is_valid(rows["key"])).sort_by("key")
         keys = rows["key"].combine_chunks()
