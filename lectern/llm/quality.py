@@ -1,13 +1,15 @@
 """Per-document text statistics, and from these whether a document is prose.
 
-Statistics are computed for every document where it is read. Gradient-boosted trees are trained on the statistics of
-a bounded sample whose labels are weak: clear prose and clear structural junk by simple rules, the rest left out. Their
-probabilities are calibrated on a holdout checked by hand.
+Statistics are computed for every document where it is read. Gradient-boosted trees are trained on the statistics of a
+bounded sample. Its labels are weak: functions vote on the texts by evidence that is no statistic of the model, and texts on
+which they disagree or are silent are left out. The probabilities are calibrated on a holdout of documents of the corpus that
+were read and labelled by hand; of these the statistics are kept, with a hash of the text.
 """
 
 from __future__ import annotations
 
-import re
+import csv
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,192 +18,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.boosting import BoostedTrees, boost
-from lectern.llm.holdout import JUNK, PROSE
-from lectern.llm.skeleton import consistent
-
-# Common words of the corpus languages.
-COMMON = {
-    "en": "the a an of to in is and that it for on by be with as at this from or are not so before until",
-    "fa": "و در به از که را این با است می‌شود برای تا هر آن یا نیز شود بر پس اگر",
-    "de": "der die das und ist nicht den dem mit auf für ein eine zu von im nach bei bis wird",
-    "fr": "le la les de des du et est une un en à que pour dans par sur ne pas au",
-    "es": "el la los de y que en un una por con se del las para al no es lo su",
-    "ar": "في من على إلى أن هذا التي الذي لا ما عن مع كل هو هي قبل بعد عند ثم إذا",
-}
-COMMON_WORDS = frozenset(w for words in COMMON.values() for form in (words, consistent(words)) for w in form.split())
-# Characters that do the work of common words in scripts without spaces.
-COMMON_CHARS = frozenset("的了是在和并会请不有这与将被为从就がはをにのでとですますしも")
-
-STATISTICS = (
-    "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "readable_share",
-    "broken_share", "single_letters", "digit_share", "item_lines", "cell_lines", "distinct_words", "line_words",
-    "capital_names", "log_chars",
-)
-
-WORD = re.compile(r"[^\W\d_]+(?:[‌'’-][^\W\d_]+)*")
-SPACELESS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()«»“”„‘’؟،؛。、！？：；（）「」…‌-]")
-BROKEN = re.compile(r"[�\x80-\x9f]|[ÃÂØÙÛÐÑ][ -¿]?|[\x00-\x08\x0e-\x1f]")
-DISGUISED = re.compile("[Ͱ-ϿЀ-ӿ԰-֏＀-￯\xad​⁠﻿ﬀ-ﭏ\xa0  ]")
-ITEM = re.compile(r"\s*(?:[-*•+]\s|\d{1,3}[.)]\s|\[[ xX]?\]\s|\|)")
-CELL = re.compile(r"\t|\S {3,}\S|<t[dhr]\b|</?table|(?:^|\s)\|\s|^(?:[^,\n]+,){2,}[^,\s][^,]*$")
-END = re.compile(r"[.!?؟۔。！？…:](?:[\"'”’»)\]`]*)(?:\s|$)|[。！？]")
-FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-CAPITAL = re.compile(r"\b[A-Z][A-Z0-9]*(?:[_-][A-Z0-9]+)+\b")
-
-
-def _readable(unit: str, broken: bool) -> bool:
-    if broken and len(BROKEN.findall(unit)) * 25 > len(unit):
-        return False
-    words = WORD.findall(unit.lower())
-    letters = sum(map(len, words))
-    if unit.isascii() or not SPACELESS.search(unit):
-        if len(words) < 3 or letters < 2.3 * len(words):
-            return False
-        if len(words) < 10:
-            return True
-        return sum(map(COMMON_WORDS.__contains__, words)) * 20 >= len(words)
-    return len(SPACELESS.findall(unit)) >= 5
-
-
-def _cells(line: str) -> bool:
-    """Whether a line is a row of cells."""
-    if "|" in line or "\t" in line or "   " in line or "<" in line or line.count(",") > 1:
-        return CELL.search(line) is not None
-    return False
-
-
-def _like_prose(rest: str) -> bool:
-    words = [w.lower() for w in WORD.findall(rest)]
-    return len(set(words)) * 2 > len(words) and sum(w in COMMON_WORDS for w in words) * 6 >= len(words)
-
-
-def _blocks(text: str) -> Iterator[tuple[str, int]]:
-    """Paragraphs and list items, their lines joined, with the number of lines; lines made of cells are left out."""
-    held: list[str] = []
-    for line in text.split("\n"):
-        cells = _cells(line) and END.search(line.rstrip()[-3:]) is None
-        if not line.strip() or cells or ITEM.match(line):
-            if held:
-                yield " ".join(held), len(held)
-            held = [] if cells or not line.strip() else [ITEM.sub("", line, count=1)]
-        else:
-            held.append(line)
-    if held:
-        yield " ".join(held), len(held)
-
-
-def readable_share(text: str, broken: bool = True) -> float:
-    """Share of the characters in units that close with an end mark and read like a sentence; of a last unit without
-    an end mark counts if its lines are long and its words are like those of prose."""
-    good = 0
-    for block, lines in _blocks(text):
-        start = 0
-        for m in END.finditer(block):
-            if m[0][0] == ":":
-                continue
-            unit = block[start : m.end()].strip()
-            start = m.end()
-            if _readable(unit, broken):
-                good += len(unit)
-        rest = block[start:].strip()
-        if len(rest) > 45 * lines and _like_prose(rest) and _readable(rest, broken):
-            good += len(rest)
-    if "```" in text:
-        text = FENCE.sub("", text)
-    seen = len(text.strip()) - text.count("\n\n")
-    return min(1.0, good / max(1, seen))
-
-
-def statistics(text: str) -> tuple[float, ...]:
-    """The values of ``STATISTICS``; all 0 for a text without a visible character."""
-    size = len(text.strip())
-    if not size:
-        return (0.0,) * len(STATISTICS)
-    lines = [line for line in text.split("\n") if line.strip()]
-    plain = consistent(text) if DISGUISED.search(text) else text
-    spaceless = [] if plain.isascii() else SPACELESS.findall(plain)
-    broken = len(BROKEN.findall(text))
-    words = WORD.findall(plain.lower())
-    if len(spaceless) * 3 > size:
-        count = max(1, len(spaceless) // 2)
-        common = min(1.0, sum(c in COMMON_CHARS for c in spaceless) / count)
-        length, distinct, singles = 2.0, min(1.0, len(set(re.findall(r"\S\S", plain))) / count), 0.0
-    else:
-        count = max(1, len(words))
-        sizes = list(map(len, words))
-        common = sum(map(COMMON_WORDS.__contains__, words)) / count
-        length, distinct, singles = sum(sizes) / count, len(set(words)) / count, sizes.count(1) / count
-    return (
-        float(count if words or spaceless else 0),
-        length,
-        len(SYMBOL.findall(text)) / size,
-        sum(END.search(line.rstrip()[-4:]) is not None for line in lines) / len(lines),
-        common,
-        readable_share(plain, broken > 0),
-        broken / size,
-        singles,
-        sum(map(text.count, "0123456789")) / size,
-        sum(ITEM.match(line) is not None for line in lines) / len(lines),
-        sum(map(_cells, lines)) / len(lines),
-        distinct,
-        count / len(lines),
-        len(CAPITAL.findall(text)) / max(1, count),
-        float(np.log1p(size)),
-    )
-
-
-def text_statistics(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, each of ``STATISTICS``) of every row, without a shuffle; null texts count as empty. Further columns are
-    dropped, repeated rows stay."""
-    kind = rows.schema[key].dataType.simpleString()
+from lectern.llm.textstats import STATISTICS, statistics
+from lectern.llm.weaklabels import weak_label
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [statistics(t or "") for t in batch.column(1).to_pylist()]
-            columns = [pa.array(c, pa.float64()) for c in zip(*found)] if found else [pa.array([], pa.float64())] * len(STATISTICS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", *STATISTICS])
+HOLDOUT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "holdout.csv")
 
-    picked = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    fields = ", ".join(f"{s} double" for s in STATISTICS)
-    return picked.mapInArrow(run, f"key {kind}, {fields}").withColumnRenamed("key", key)
 
+def holdout() -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, 1 for prose and 0 for junk) of the documents labelled by hand."""
+    with open(HOLDOUT, encoding="utf-8", newline="") as f:
+        rows = list(csv.DictReader(f))
+    return np.array([[float(r[s]) for s in STATISTICS] for r in rows]), np.array([float(r["prose"]) for r in rows])
 
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 for clear prose, 0 for clear junk, -1 for what stays unlabelled."""
-    s = {name: x[:, i] for i, name in enumerate(STATISTICS)}
-    prose = (s["readable_share"] > 0.6) & (s["broken_share"] < 0.01) & (s["single_letters"] < 0.3)
-    junk = (s["readable_share"] < 0.4) | (s["broken_share"] > 0.05) | (s["single_letters"] > 0.6)
-    return np.where(junk, 0, np.where(prose, 1, -1))
 
+def _columns(x: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(c)) for c in x.T]
 
-def train(rows: DataFrame, key: str, text: str, sample_rows: int = 3_000) -> BoostedTrees:
-    """Trees trained on about ``sample_rows`` rows, spread by a hash of the key, and calibrated on the holdout."""
+
+def labelled_sample(rows: DataFrame, key: str, text: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, weak label) of about ``sample_rows`` rows with a label, spread by a hash of the key."""
     every = max(1, rows.count() // sample_rows)
-    sample = rows.where((F.pmod(F.xxhash64(key), F.lit(every)) == 0) & F.col(text).isNotNull())
-    taken = text_statistics(sample, key, text).select(*STATISTICS).limit(2 * sample_rows).toPandas()
-    x = taken.to_numpy(dtype=np.float64)
-    x = x[np.lexsort(x.T[::-1])] if len(x) else np.zeros((0, len(STATISTICS)))
-    x = x[x[:, STATISTICS.index("log_chars")] > 0]
-    held = np.array([statistics(t) for t in PROSE + JUNK])
-    y = weak_labels(x)
-    model = boost(x[y >= 0], y[y >= 0].astype(np.float64), trees=30, depth=2)
-    model.calibrate(held, np.r_[np.ones(len(PROSE)), np.zeros(len(JUNK))])
+    sample = rows.where((F.pmod(F.xxhash64(key), F.lit(every)) == 0) & (F.length(text) > 0)).select(F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            labels = np.array([weak_label(t) for t in texts], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(labels), *_columns(statistics(texts))], names=["label", *STATISTICS])
+
+    fields = ", ".join(f"{s} double" for s in STATISTICS)
+    taken = sample.mapInArrow(run, f"label int, {fields}").where("label >= 0").limit(2 * sample_rows).toPandas().to_numpy(dtype=np.float64)
+    taken = taken[np.lexsort(taken.T[::-1])] if len(taken) else np.zeros((0, 1 + len(STATISTICS)))
+    return taken[:, 1:], taken[:, 0]
+
+
+def train(rows: DataFrame, key: str, text: str, sample_rows: int = 6_000) -> BoostedTrees:
+    """Trees trained on a weakly labelled sample of about ``sample_rows`` rows and calibrated on the holdout."""
+    x, y = labelled_sample(rows, key, text, sample_rows)
+    model = boost(x, y, trees=60, depth=3)
+    model.calibrate(*holdout())
     return model
 
 
-def prose_probability(stats: DataFrame, key: str, model: BoostedTrees) -> DataFrame:
-    """The statistics with ``prose``, the calibrated probability that the text is prose; null for a text without a
-    visible character."""
-    fields = stats.schema.fields
-    held = stats.sparkSession.sparkContext.broadcast(model)  # bounded by the number and depth of the trees
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", prose double"
+def text_quality(rows: DataFrame, key: str, text: str, model: BoostedTrees | None = None) -> DataFrame:
+    """(key, each of ``STATISTICS``, prose) of every row, in one pass and without a shuffle.
+
+    ``prose`` is the calibrated probability that most of the text is prose; null for a text that is null or without a visible
+    character, whose statistics are 0, and null without a model. Further columns are dropped, repeated rows stay.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the number and depth of the trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], 1)
-            p = held.value.probability(x) if len(x) else np.zeros(0)
-            empty = x[:, STATISTICS.index("log_chars")] <= 0
-            yield batch.append_column("prose", pa.array(p, pa.float64(), mask=empty))
+            x = statistics(batch.column(1).to_pylist())
+            if held.value is None:
+                prose = pa.nulls(len(x), pa.float64())
+            else:
+                prose = pa.array(held.value.probability(x), pa.float64(), mask=x[:, STATISTICS.index("log_chars")] <= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(x), prose], names=["key", *STATISTICS, "prose"])
 
-    return stats.mapInArrow(run, schema)
+    picked = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    fields = ", ".join(f"{s} double" for s in STATISTICS)
+    return picked.mapInArrow(run, f"key {kind}, {fields}, prose double").withColumnRenamed("key", key)

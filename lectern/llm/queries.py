@@ -10,7 +10,7 @@ from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
 from lectern.llm.neighbours import latest_vectors, mutual_pairs, nearest_vectors, usable_vectors
 from lectern.llm.packing import pack
-from lectern.llm.quality import prose_probability, text_statistics
+from lectern.llm.quality import text_quality
 from lectern.llm.quality import train as train_quality
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
 from lectern.llm.sentences import split_sentences
@@ -155,8 +155,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    model = train_quality(documents, "doc_id", "text")
-    return prose_probability(text_statistics(documents, "doc_id", "text"), "doc_id", model)
+    return text_quality(documents, "doc_id", "text", train_quality(documents, "doc_id", "text"))
 
 
 @LLM.query("p9_found")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import contamination, encoding, language, neighbours, packing, quality, ranking, sentences, skeleton
+from lectern.llm import contamination, encoding, language, neighbours, packing, quality, ranking, sentences, skeleton, textstats, weaklabels
 from lectern.llm.boosting import boost
 from lectern.llm.hnsw import Graph
 
@@ -263,17 +263,59 @@ def test_language(spark):
         assert 0 <= r.confidence <= 1 and r.segments
 
 
-def test_statistics_of_hand_checked_texts(spark):
-    x = np.array([quality.statistics(t) for t in quality.PROSE + quality.JUNK])
-    y = np.r_[np.ones(len(quality.PROSE)), np.zeros(len(quality.JUNK))]
-    labels = quality.weak_labels(x)
-    assert (labels[labels >= 0] == y[labels >= 0]).mean() >= 0.95
-    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate([*quality.PROSE, *quality.JUNK, None, "", " \n"])], "id long, text string, prose double")
-    model = quality.train(df, "id", "text")
-    p = {r.id: r.prose for r in quality.prose_probability(quality.text_statistics(df, "id", "text"), "id", model).collect()}
-    n = len(y)
-    assert [p[n], p[n + 1], p[n + 2]] == [None] * 3
-    assert np.mean([(p[i] > 0.5) == (y[i] > 0.5) for i in range(n)]) >= 0.9
+def test_statistics_of_plain_texts():
+    text = "The door is open. Who left?\n- old nuts & bolts\nwe saw it -- twice"
+    r = dict(zip(textstats.STATISTICS, textstats.statistics([text])[0]))
+    words = "The door is open Who left old nuts bolts we saw it twice".split()
+    assert r["word_count"] == len(words) and r["mean_word_length"] == pytest.approx(sum(map(len, words)) / len(words))
+    assert r["symbol_ratio"] == pytest.approx(1 / len("".join(text.split())))
+    assert r["punctuated_lines"] == pytest.approx(1 / 3) and r["common_words"] == pytest.approx(3 / 13)  # the, is, it
+    assert r["item_share"] == pytest.approx(len("-oldnuts&bolts") / len("".join(text.split())))
+    table = dict(zip(textstats.STATISTICS, textstats.statistics(["a\tb\tc\n1\t2\t3"])[0]))
+    assert table["cell_share"] == 1 and table["marked_share"] == 0
+    disguised = dict(zip(textstats.STATISTICS, textstats.statistics(["Ｔｈе do\u00ador is open. Who left?"])[0]))
+    assert disguised["common_words"] == pytest.approx(2 / 6)
+
+
+def test_statistics_do_not_depend_on_the_batch():
+    rnd = random.Random(6)
+    alphabet = list("ab. \n\t|,-*1é漢。ا‌�\x01😀!") + ["\u0301", "\u00ad", "the ", "\ud800"]
+    texts = [None, "", " \n", "\u0301", "x" * 3000] + ["".join(rnd.choices(alphabet, k=rnd.randint(1, 60))) for _ in range(300)]
+    whole = textstats.statistics(texts)
+    alone = np.concatenate([textstats.statistics([t]) for t in texts])
+    assert np.allclose(whole, alone) and np.isfinite(whole).all() and not whole[:4].any()
+
+
+def test_prose_is_learned_from_several_statistics(spark, sf):
+    df = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    x, y = quality.labelled_sample(df, "doc_id", "text", 6_000)
+    model = quality.train(df, "doc_id", "text")
+    held, truth = quality.holdout()
+    found = model.probability(held) < 0.5
+    assert len(truth) >= 200 and (found & (truth == 0)).sum() >= 0.97 * (truth == 0).sum() and (found & (truth == 1)).sum() <= 0.02 * (truth == 1).sum()
+    used = {n[0] for tree in model.trees for n in tree if n[0] >= 0}
+    assert len(used) >= 6
+    cut = max(np.mean(((held[:, j] > t) == (truth == 1)) ^ flip) for j in used for t in np.unique(held[:, j]) for flip in (False, True))
+    assert cut < np.mean(found == (truth == 0))  # no cut of one statistic does as well
+    odd = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, " \n", 0.5), (4, "It rained all day, and the road to the mill was closed.", 0.5), (4, "a|b|c", 0.5)], "id long, text string, prose double")
+    p = sorted((r.id, r.prose is None) for r in quality.text_quality(odd, "id", "text", model).collect())
+    assert p == [(1, True), (2, True), (3, True), (4, False), (4, False)]
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("The door was open and nobody had seen who went out of the house. She would have told them about it.", 1),
+        ("\n".join(f"- part ({n})" for n in range(9)), 0),
+        ("\n".join(f"a{n}\tb\t{n}" for n in range(9)), 0),
+        ("48 65 6c 6c 6f 20 77 6f 72 6c 64 21\n" * 5, 0),
+        ("T h e d o o r w a s o p e n a n d n o b o d y k n e w", 0),
+        ("Yes.", -1),
+        ("", -1),
+    ],
+)
+def test_weak_labels(text, label):
+    assert weaklabels.weak_label(text) == label
 
 
 def test_trees_learn_a_rule():
