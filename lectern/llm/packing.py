@@ -88,7 +88,8 @@ def _packed(parts: DataFrame, key: str, capacity: int, windows: int, run_items:
 
 
 def _merged(left: DataFrame, kind: str, group: Column, capacity: int, windows: int) -> DataFrame:
-    """Best fit, largest first, of the open windows of each group, every window as one item."""
+    """Best fit, largest first, of the open windows of each group, every window as one item; of the windows that result
+    only the ``windows`` emptiest stay open, so that a group of the next round is bounded too."""
 
     def run(rows: pa.Table) -> pa.Table:
         part, window = rows["part"].to_numpy().astype(np.int64), rows["window"].to_numpy()
@@ -97,6 +98,8 @@ def _merged(left: DataFrame, kind: str, group: Column, capacity: int, windows: i
         used = np.bincount(of, weights=rows["size"].to_numpy()).astype(np.int64)
         order = np.lexsort((names[:, 1], names[:, 0], -used))
         taken, still = pack_stream(used[order], capacity, len(order))
+        filled = np.bincount(taken, weights=used[order]) if len(order) else np.zeros(0)
+        still = set(sorted(still, key=lambda w: (filled[w], w))[:windows])
         home = np.empty(len(order), dtype=np.int64)
         home[order] = taken
         lead = np.full(int(taken.max(initial=-1)) + 1, -1, dtype=np.int64)
@@ -137,7 +140,7 @@ def pack(
     lost task is repeated with the same outcome.
 
     The number of partitions follows the number of items. Rounds of merging take ``fan_in`` partitions to
-    a task, each with at most ``windows`` open windows per partition at first, and end when one group is left.
+    a task, each with at most ``windows`` open windows, and end when one group is left.
     """
     if capacity < 1 or windows < 1 or fan_in < 2:
         raise ValueError("capacity and windows must be at least 1, fan_in at least 2")
