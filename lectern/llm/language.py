@@ -73,7 +73,8 @@ SEEDS = {
 }
 
 NOT_PROSE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|https?://\S+|\S*[/\\@]\S*", re.S)
-QUOTED = re.compile(r"“[^”]{1,60}”|„[^“”]{1,60}[“”]|«[^»]{1,60}»|\"[^\"\n]{1,60}\"|‹[^›]{1,60}›")
+QUOTED = re.compile(r"“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|\"[^\"\n]+\"|‹[^›\n]+›")
+WHOLE = re.compile(r"[.!?؟۔。！？…]\W*\s+\S.*[.!?؟۔。！？…]\W*\Z", re.S)
 SEGMENT = re.compile(r"[^\n]+?(?:[.!?؟۔。！？…]+[\"'”’»)\]]*(?=\s|$|[^\W\d_a-z])|$|(?=\n))")
 WORD = re.compile(r"[^\W\d_](?:[^\s.,;:!?()\[\]{}\"«»“”„`…،؛؟/\\<>|=+*#~&0-9_-]*[^\W_])?")
 UPPER = re.compile(r"[A-Z]{2,}|.[A-Z]")
@@ -90,11 +91,11 @@ def named_language(label: Column) -> Column:
 def segments(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, distinct words in order) of the sentences of a text.
 
-    Code, commands, addresses and short quotations are blanked; words in capitals count as names.
+    Code, commands, addresses and quotations of up to one sentence are blanked; words in capitals count as names.
     """
     if "`" in text or "/" in text or "@" in text or "\\" in text:
         text = NOT_PROSE.sub(lambda m: " " * len(m[0]), text)
-    text = QUOTED.sub(lambda m: " " * len(m[0]), text)
+    text = QUOTED.sub(lambda m: m[0] if WHOLE.search(m[0]) else " " * len(m[0]), text)
     out = []
     for m in SEGMENT.finditer(text):
         words = list(dict.fromkeys(w for w in WORD.findall(m[0]) if not UPPER.match(w)))
