@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -21,14 +22,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.skeleton import prototypes
 
-#: Bytes of item text up to which the automaton is built in one piece; more items are handled in several passes.
-BOUND = 8_000_000
+#: Bytes of item text up to which the automaton is built in one piece, about 0.3 GB in a worker; more items are handled in
+#: several passes, each with an automaton of its own.
+BOUND = 1_000_000
 #: Pieces of text kept normalised by a worker; when as many are held, the memory is emptied.
 MEMORY = 400_000
 
-MARKUP = re.compile(r"</?[A-Za-z][\w-]{0,15}(?:\s[^<>]{0,200})?>")
+MARKUP = re.compile(r"</?[A-Za-z][\w-]*(?:\s[^<>]*)?>")
 MARKS = re.compile(r"[̀-ًͯ-ٰٟۖ-ۭـ]+")
-WORD = re.compile(r"[^\W_]+")
+UNSPACED = "぀-ヿ㐀-鿿豈-﫿ก-๛ກ-ໟက-႟ក-៿"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
+PIECE = re.compile(r"\S+")
 DIGITS = {ord(c): str(unicodedata.digit(c)) for c in "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"}
 
 
@@ -39,7 +43,8 @@ def _fold() -> dict[int, str]:
 def normalised_words(text: str) -> list[str]:
     """Words without markup, case, accents, joiners, look-alike letters and kinds of digits.
 
-    Full-width and invisible characters and look-alikes are settled by the skeleton.
+    Full-width and invisible characters and look-alikes are settled by the skeleton. In scripts without spaces every
+    character is a word.
     """
     if "<" in text:
         text = MARKUP.sub("", text)
@@ -52,25 +57,49 @@ _FOLD = _fold()
 
 
 class SuffixAutomaton:
-    """Smallest automaton of all stretches of several token sequences, with the places where each state occurs."""
+    """Smallest automaton of all stretches of several token sequences, with the places where each state occurs.
+
+    States are numbered along the tree of suffix links, so that the places of a state are one range of flat arrays.
+    """
 
     def __init__(self, sequences: Sequence[Sequence[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.first: list[list[tuple[int, int]]] = [[]]
+        ends: list[tuple[int, int, int]] = []
         for item, tokens in enumerate(sequences):
             last = 0
             for at, token in enumerate(tokens):
                 last = self._extend(last, token)
-                self.first[last].append((item, at))
-        order = sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
-        self.places: list[list[tuple[int, int]]] = [list(p) for p in self.first]
-        for s in order:
-            if self.link[s] > 0:
-                self.places[self.link[s]].extend(self.places[s])
+                ends.append((last, item, at))
         self.sequences = sequences
+        self._lay_out(np.array(ends, dtype=np.int64).reshape(-1, 3))
         self.ending: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
 
+    def _lay_out(self, ends: np.ndarray) -> None:
+        links = np.array(self.link, dtype=np.int64)
+        children = np.argsort(links, kind="stable")
+        first = np.searchsorted(links[children], np.arange(len(links) + 1))
+        number, after = np.zeros(len(links), dtype=np.int64), np.zeros(len(links), dtype=np.int64)
+        count, stack = 0, [0]
+        while stack:
+            s = stack.pop()
+            if s < 0:
+                after[~s] = count
+                continue
+            number[s] = count
+            count += 1
+            stack.append(~s)
+            stack.extend(children[first[s] : first[s + 1]].tolist())
+        order = np.argsort(number[ends[:, 0]], kind="stable")
+        self.items, self.lasts = ends[order, 1].astype(np.int32), ends[order, 2].astype(np.int32)
+        spots = number[ends[order, 0]]
+        self.low, self.high = np.searchsorted(spots, number), np.searchsorted(spots, after)
+
+    def places(self, state: int) -> list[tuple[int, int]]:
+        """(item, position of the last token) of all occurrences of a state."""
+        part = slice(self.low[state], self.high[state])
+        return list(zip(self.items[part].tolist(), self.lasts[part].tolist()))
+
     def _extend(self, last: int, token: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if token in nxt[last]:
@@ -80,7 +109,6 @@ class SuffixAutomaton:
         nxt.append({})
         link.append(0)
         length.append(length[last] + 1)
-        self.first.append([])
         p = last
         while p >= 0 and token not in nxt[p]:
             nxt[p][token] = new
@@ -96,32 +124,12 @@ class SuffixAutomaton:
         nxt.append(dict(nxt[q]))
         link.append(link[q])
         length.append(length[p] + 1)
-        self.first.append([])
         link[q] = copy
         while p >= 0 and nxt[p].get(token) == q:
             nxt[p][token] = copy
             p = link[p]
         return copy
 
-    def stretches(self, tokens: Sequence[int], least: int) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of the longest matches that can't grow to the right and have at least so many tokens."""
-        nxt, link, length = self.next, self.link, self.length
-        state = size = 0
-        for at, token in enumerate(tokens):
-            if token not in nxt[state]:
-                if size >= least:
-                    yield at, size, state
-                while state and token not in nxt[state]:
-                    state = link[state]
-                    size = length[state]
-                if token not in nxt[state]:
-                    state = size = 0
-                    continue
-            state = nxt[state][token]
-            size += 1
-        if size >= least:
-            yield len(tokens), size, state
-
     def matches(self, tokens: Sequence[int], least: int) -> Iterator[tuple[int, int, int, int]]:
         """(end, length, item, last) of every match of at least so many tokens with every place in every item, where it
         can grow neither to the left nor to the right at that place.
@@ -152,10 +160,10 @@ class SuffixAutomaton:
         key = (state, longer, following if following in self.next[state] else -1)
         held = self.ending.get(key)
         if held is None:
-            known = set(self.places[longer]) if longer >= 0 else ()
+            known = set(self.places(longer)) if longer >= 0 else ()
             held = self.ending[key] = [
                 (item, last)
-                for item, last in self.places[state]
+                for item, last in self.places(state)
                 if (item, last) not in known and (key[2] < 0 or self.sequences[item][last + 1 : last + 2] != [key[2]])
             ]
         return held
@@ -210,45 +218,81 @@ class LeakFinder:
 
         Normalisation never looks past white space, so each piece between is normalised once and remembered.
         """
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, number, out = self.known, self.number, []
+        out: list[int] = []
         for piece in (MARKUP.sub("", text) if "<" in text else text).split():
-            words = known.get(piece)
-            if words is None:
-                words = known[piece] = [number.get(w, -1) for w in normalised_words(piece)]
-            out += words
+            out += self._numbers(piece)
         return out
 
+    def _numbers(self, piece: str) -> list[int]:
+        words = self.known.get(piece)
+        if words is None:
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            words = self.known[piece] = [self.number.get(w, -1) for w in normalised_words(piece)]
+        return words
+
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) in the text of the piece that holds each word of ``tokens``."""
+        kept = [(0, 0)]  # (position in the text without markup, position in the text) behind each piece of markup
+        plain, size, behind = [], 0, 0
+        for m in MARKUP.finditer(text):
+            plain.append(text[behind : m.start()])
+            size += m.start() - behind
+            behind = m.end()
+            kept.append((size, behind))
+        plain.append(text[behind:])
+        starts = [k[0] for k in kept]
+        home = lambda at: kept[i := bisect_right(starts, at) - 1][1] + at - kept[i][0]
+        return [(home(m.start()), home(m.end() - 1) + 1) for m in PIECE.finditer("".join(plain)) for _ in self._numbers(m[0])]
+
     def find(self, text: str) -> list[tuple[object, int, float, int, int]]:
         """(item, covered words, share of the item, first and last word position in the text) of the leaked items."""
-        tokens = self.tokens(text)
-        if len(tokens) < self.least:
+        return self._leaks(self.tokens(text))[0]
+
+    def spans(self, text: str, longest: int) -> list[tuple[int, int]]:
+        """(start, end) of the passages of leaked items and of all stretches of ``longest`` words or more, merged."""
+        leaks, stretches = self._leaks(self.tokens(text))
+        words = [(first, last) for *_, first, last in leaks] + [(a, a + n) for a, n in stretches if n >= longest]
+        if not words:
             return []
+        at = self.offsets(text)
+        out: list[list[int]] = []
+        for first, last in sorted(words):
+            start, end = at[first][0], at[last - 1][1]
+            if out and start <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([start, end])
+        return [tuple(span) for span in out]
+
+    def _leaks(self, tokens: list[int]) -> tuple[list[tuple[object, int, float, int, int]], set[tuple[int, int]]]:
+        """Leaked items, and (start, length) of all stretches that were followed."""
+        if len(tokens) < self.least:
+            return [], set()
         t = np.array(tokens, dtype=np.int64)
         known = (t[:-2] >= 0) & (t[1:-1] >= 0) & (t[2:] >= 0)
         if not known.any() or not len(self.grams):
-            return []
+            return [], set()
         at = np.flatnonzero(known)
         three = (t[at] * self.base + t[at + 1]) * self.base + t[at + 2]
         place = np.minimum(np.searchsorted(self.grams, three), len(self.grams) - 1)
         hit = at[self.grams[place] == three]
         if not len(hit):
-            return []
+            return [], set()
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         breaks = np.flatnonzero(np.diff(hit) > 1) + 1
         for run in np.split(hit, breaks):  # every stretch of three words or more lies within one run
             start, end = int(run[0]), int(run[-1]) + 3
             for stop, size, item, last in self.automaton.matches(tokens[start:end], self.least):
                 found[item].append((start + stop - size, last + 1 - size, size))
-        out = []
+        out, stretches = [], {(a, n) for matches in found.values() for a, _, n in matches}
         for item, matches in found.items():
             if sum(n for _, _, n in matches) < self.share * self.sizes[item]:
                 continue
             covered, first, last = chained(matches, self.near)
             if covered >= self.share * self.sizes[item]:
                 out.append((self.names[item], covered, covered / self.sizes[item], first, last))
-        return out
+        return out, stretches
 
 
 def leaked_items(
@@ -269,18 +313,10 @@ def leaked_items(
     corpus give repeated rows, repeated items count once. The items' size is checked before they are sent to the
     workers: beyond ``BOUND`` bytes they are split into several automata, each of which reads the corpus once.
     """
-    if least < 3:
-        raise ValueError("least must be 3 or more")
     kinds = [corpus.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
-    clean = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
-    total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // BOUND))
-    spark = corpus.sparkSession
     picked = corpus.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     out = None
-    for part in range(parts):
-        mine = clean.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        finder = spark.sparkContext.broadcast(LeakFinder([tuple(r) for r in mine], least, near, share))
+    for finder in _finders(corpus, items, item_key, item_text, least, near, share):
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -301,3 +337,54 @@ def leaked_items(
         )
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("key", key).withColumnRenamed("item", item_key)
+
+
+def _finders(corpus: DataFrame, items: DataFrame, item_key: str, item_text: str, least: int, near: int, share: float) -> list:
+    """Broadcast finders, each of at most about ``BOUND`` bytes of the items' text."""
+    if least < 3:
+        raise ValueError("least must be 3 or more")
+    clean = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
+    total = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // BOUND))
+    out = []
+    for part in range(parts):
+        mine = clean.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
+        out.append(corpus.sparkSession.sparkContext.broadcast(LeakFinder([tuple(r) for r in mine], least, near, share)))
+    return out
+
+
+def without_leaks(
+    corpus: DataFrame,
+    key: str,
+    text: str,
+    items: DataFrame,
+    item_key: str,
+    item_text: str,
+    least: int = 3,
+    near: int = 10,
+    share: float = 0.45,
+    longest: int = 13,
+) -> DataFrame:
+    """(key, text, removed_chars): every text without the passages of items of which ``share`` or more of the words leaked, and
+    without any stretch of ``longest`` words or more of an item.
+
+    A passage goes from the first to the last of its words, with the marks that touch them. Null stays null and empty
+    stays empty, with nothing removed; repeated rows stay, further columns are dropped.
+    """
+    kind = corpus.schema[key].dataType.simpleString()
+    out = corpus.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.lit(0).alias("removed_chars"))
+    for finder in _finders(corpus, items, item_key, item_text, least, near, share):
+
+        def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, removed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                for i, t in enumerate(texts):
+                    spans = finder.value.spans(t, longest) if t else []
+                    if spans:
+                        behind = [0] + [end for _, end in spans]
+                        texts[i] = "".join(t[a:b] for a, b in zip(behind, [start for start, _ in spans] + [len(t)]))
+                        removed[i] += sum(end - start for start, end in spans)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["key", "text", "removed_chars"])
+
+        out = out.mapInArrow(run, f"key {kind}, text string, removed_chars int")
+    return out.withColumnRenamed("key", key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.contamination import leaked_items
+from lectern.llm.contamination import leaked_items, without_leaks
 from lectern.llm.encoding import encode_texts
 from lectern.llm.language import label_languages, train, wrong_labels
 from lectern.llm.neighbours import latest_vectors, mutual_pairs, nearest_vectors, usable_vectors
@@ -171,6 +171,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("doc_id", "item_id").distinct()
 
 
+@LLM.query("p9_cleaned")
+def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of benchmark items."""
+    documents, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return without_leaks(documents, "doc_id", "text", benchmark, "item_id", "text", share=0.5)
+
+
 @LLM.query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that are not prose for the most part."""

@@ -205,16 +205,38 @@ def test_leaks(spark):
     assert contamination.leaked_items(corpus, "id", "text", items.where("false"), "item_id", "text").count() == 0
 
 
-def test_automaton_finds_the_longest_stretches():
+def test_automaton_finds_all_stretches():
     rnd = random.Random(1)
-    items = [[rnd.randint(0, 3) for _ in range(rnd.randint(1, 12))] for _ in range(6)]
+    items = [[rnd.randint(0, 3) for _ in range(rnd.randint(0, 12))] for _ in range(6)]
     automaton = contamination.SuffixAutomaton(items)
-    for _ in range(50):
-        text = [rnd.randint(0, 3) for _ in range(20)]
-        for stop, size, state in automaton.stretches(text, 1):
-            piece = text[stop - size : stop]
-            places = {(i, at + size - 1) for i, t in enumerate(items) for at in range(len(t) - size + 1) if t[at : at + size] == piece}
-            assert set(automaton.places[state]) == places and places
+    for _ in range(40):
+        text = [rnd.randint(0, 4) for _ in range(rnd.randint(0, 15))]
+        want = set()
+        for i, t in enumerate(items):
+            for a in range(len(text)):
+                for b in range(len(t)):
+                    n = 0
+                    while a + n < len(text) and b + n < len(t) and text[a + n] == t[b + n]:
+                        n += 1
+                    if n >= 2 and not (a and b and text[a - 1] == t[b - 1]):
+                        want.add((a + n, n, i, b + n - 1))
+        assert set(automaton.matches(text, 2)) == want
+
+
+def test_passages_are_cut_out(spark):
+    item = "which of the blue lamps must the night porter carry to the old mill before the third bell rings twice"
+    chinese = "在夜间维护期间备用节点向事故频道发送摘要并且需要可用空间"
+    tags = " ".join(f"<b class=\"{'x' * 300}\">{w}</b>" for w in item.split())
+    texts = [f"One. {item.upper()}! Two.", f"Start {tags} end", f"请注意，{chinese[:-2]}其他文字。", "Nothing here.", None, ""]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "id long, text string, removed_chars int")
+    items = spark.createDataFrame([(1, item), (2, chinese), (3, None)], "item long, text string")
+    found = {(r.id, r.item) for r in contamination.leaked_items(df, "id", "text", items, "item", "text").collect()}
+    assert found == {(0, 1), (1, 1), (2, 2)}
+    got = {r.id: (r.text, r.removed_chars) for r in contamination.without_leaks(df, "id", "text", items, "item", "text").collect()}
+    assert got[0] == ("One.  Two.", len(item) + 1)
+    assert got[1][0].startswith("Start") and got[1][0].endswith("end") and "porter" not in got[1][0]
+    assert (got[3], got[4], got[5]) == (("Nothing here.", 0), (None, 0), ("", 0))
+    assert chinese[:6] not in got[2][0]
 
 
 def test_a_leak_within_the_stretch_of_another_item():
