@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import contamination, encoding, language, neighbours, packing, quality, ranking, sentences, skeleton, textstats, weaklabels
+from lectern.llm import contamination, encoding, language, lattice, neighbours, packing, quality, ranking, sentences, skeleton, textstats, weaklabels
 from lectern.llm.boosting import boost
 from lectern.llm.hnsw import Graph
 
@@ -340,6 +340,45 @@ def test_weak_labels(text, label):
     assert weaklabels.weak_label(text) == label
 
 
+@pytest.mark.parametrize(
+    ("text", "count"),
+    [
+        ("ฉันชอบกินข้าว พ่อชอบวิ่ง", 2),
+        ("แมวนอนหลับ หมาเห่าเสียงดัง", 2),
+        ("เขาไปตลาด เพราะข้าวหมด", 1),
+        ("今天很好了 我们走吧", 2),
+        ("彼は来ました 私は帰ります", 2),
+        ("他说：“好。”就业问题很多。", 2),
+        ("他说：“好。”就走了。", 1),
+        ("「はい。」と言いました。", 1),
+        ("See Fig. 3 and Dr. Ray. It is 4.5 cm... or so. 1. First", 3),
+        ('He said "' + "It is late. We must go now. " * 60 + '" and left. We stayed.', 2),
+    ],
+)
+def test_gaps_and_lattices(text, count):
+    assert len(sentences.sentence_spans(text)) == count
+
+
+def test_cheapest_words_against_all_paths():
+    words, rnd = frozenset(["ab", "abc", "c", "bca", "aa"]), random.Random(8)
+
+    def cost(run, start=0, inside=False):
+        if start == len(run):
+            return 0.0
+        ways = [lattice.WORD + cost(run, start + len(w)) for w in words if run.startswith(w, start)]
+        step = lattice.CHARACTER + (0 if inside else lattice.UNKNOWN)
+        return min([step + cost(run, start + 1, True), *ways])
+
+    for _ in range(200):
+        run = "".join(rnd.choices("abcd", k=rnd.randint(1, 9)))
+        found = lattice.cheapest_words(run, words)
+        assert "".join(found) == run
+        paid = sum(lattice.WORD if w in words else lattice.UNKNOWN + lattice.CHARACTER * len(w) for w in found)
+        assert paid <= cost(run) + 1e-9 or paid == pytest.approx(cost(run))
+    for run in ("รีสตาร์ตบริการก่อน", "担当者は待ってください", "我们就业问题很多"):
+        assert "".join(lattice.cheapest_words(run, lattice.thai_words() | lattice.thick_words())) == run
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
