@@ -14,7 +14,7 @@ from lectern.llm.quality import text_quality
 from lectern.llm.quality import train as train_quality
 from lectern.llm.ranking import best_of_group, ideal_point_closeness, merge_scores
 from lectern.llm.sentences import split_sentences
-from lectern.llm.skeleton import look_alike_pairs
+from lectern.llm.skeleton import look_alike_pairs, look_classes
 from lectern.plans.registry import Query, Registry
 from lectern.session import table
 
@@ -147,6 +147,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+@LLM.query("p7_classes")
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The different texts of every look that has several, with the number of chunks of each and the smallest chunk id."""
+    return look_classes(table(spark, folder, "chunks"), "chunk_id", "text").select(F.hex("look").alias("look"), F.hex("form").alias("form"), "keys", "first_key")
+
+
 @LLM.query("p8_ids")
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document text by byte_bpe_50k."""

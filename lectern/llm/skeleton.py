@@ -28,6 +28,10 @@ LOOK_ALIKES = {
     "αονρυϲϳ": "aovpucj",
     "ОօոսհցԼ": "Oonuhgl",
     "ɑɡıȷ": "agij",
+    "ѵѴԌꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "vVGBPDTGKJCZFMNLSRVHWXYAEIOU",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏏᏕᏙᏞᏟᏢᏦᏴ": "DRTAJEWMHGZbSVLCPKB",
+    "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥⲭ": "HIKMNOPCTYXopcx",
+    "ՍՏԵյզ": "USEjq",
 }
 # Forms of yeh and kaf, and of heh with hamza, each with the form that stands for all.
 ARABIC_FORMS = {"ي": "ی", "ى": "ی", "ې": "ی", "ك": "ک", "ڪ": "ک", "ە": "ه"}
@@ -36,9 +40,12 @@ HYPHENS = "‐‑⁃﹣－"
 # Visible although of a category that is not, and the reverse.
 VISIBLE = "‌"
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
-#: Compatibility decompositions that change the width, the joining or the breaking of a character only.
-SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
-LIGATURES = range(0xFB00, 0xFB50)
+#: Compatibility decompositions that change the width, the font, the joining or the breaking of a character only.
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
+#: Ligatures and Roman numerals, whose compatibility decompositions are the letters they look like.
+LIGATURES = (range(0xFB00, 0xFB50), range(0x2160, 0x2180), range(0x0132, 0x0134), range(0x01C7, 0x01CD))
+#: Parts that the keys of one text are spread over in a join.
+SALTS = 8
 
 
 def _prototype(char: str) -> str:
@@ -52,7 +59,7 @@ def _prototype(char: str) -> str:
     if char in HYPHENS:
         return "-"
     tag, _, rest = unicodedata.decomposition(char).partition(" ")
-    if tag in SAME_LOOK or tag == "<compat>" and point in LIGATURES:
+    if tag in SAME_LOOK or tag == "<compat>" and any(point in r for r in LIGATURES):
         return "".join(_prototype(chr(int(x, 16))) for x in rest.split())
     return char
 
@@ -130,23 +137,35 @@ def look_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     return prints.join(shared, "look", "left_semi").select(key, "look", "form").distinct()
 
 
+def look_classes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(look, form, keys, first_key): the different texts of every look that has two or more, with the number of keys of each and
+    the smallest. This is the whole result in one row a text; pairs need only be made where they are asked for."""
+    members = look_groups(rows, key, text)
+    return members.groupBy("look", "form").agg(F.count_distinct(key).alias("keys"), F.min(key).alias("first_key"))
+
+
 def look_alike_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: the keys of texts that look the same but differ in their characters.
 
     Different texts of a look are paired first, then every such pair of texts is given its keys: pairs of identical
-    texts never arise, not even as candidates. A key with several rows is paired with others by each
-    of its texts, never with itself.
+    texts never arise, not even as candidates. The text with more keys is the first of a pair and its keys are spread over
+    ``SALTS`` parts, so that a text copied very often is joined by several tasks. A key with several rows is paired with
+    others by each of its texts, never with itself.
     """
-    members = look_groups(rows, key, text)
-    forms = members.select("look", "form").distinct()
+    members = checkpointed(look_groups(rows, key, text))
+    forms = members.groupBy("look", "form").agg(F.count("*").alias("keys"))
+    heavier = F.struct("x.keys", "x.form") > F.struct("y.keys", "y.form")
     pairs = (
         forms.alias("x")
-        .join(forms.alias("y"), (F.col("x.look") == F.col("y.look")) & (F.col("x.form") < F.col("y.form")))
+        .join(forms.alias("y"), (F.col("x.look") == F.col("y.look")) & heavier)
         .select(F.col("x.form").alias("form_x"), F.col("y.form").alias("form_y"))
     )
-    keys = members.select("form", key)
-    first = pairs.join(keys.select(F.col("form").alias("form_x"), F.col(key).alias("key_x")), "form_x")
-    both = first.join(keys.select(F.col("form").alias("form_y"), F.col(key).alias("key_y")), "form_y")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    many = members.select(F.col("form").alias("form_x"), F.col(key).alias("key_x"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
+    few = members.select(F.col("form").alias("form_y"), F.col(key).alias("key_y"))
+    first = pairs.select("*", salts).join(many, ["form_x", "salt"])
+    second = pairs.join(few, "form_y").select("*", salts)
+    both = first.join(second, ["form_x", "form_y", "salt"])
     return (
         both.where(F.col("key_x") != F.col("key_y"))
         .select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"))

@@ -44,6 +44,9 @@ def test_look_alikes(spark):
     want = {(a, b) for a in range(4) for b in range(a + 1, 4)} | {(a, 50) for a in (1, 2, 3)}
     assert got == want
     assert {skeleton.consistent(x) for x in same} == {"Kafé 12"}
+    classes = skeleton.look_classes(df, "id", "text").collect()
+    assert sorted((r["keys"], r.first_key) for r in classes) == [(1, 1), (1, 2), (1, 3), (2, 0)] and len({bytes(r.look) for r in classes}) == 1
+    assert skeleton.consistent("𝐀𝓫Ⅳ ℂꓐᎳ") == "AbIV CBW"
     assert skeleton.skeleton(skeleton.skeleton(same[0])) == skeleton.skeleton(same[0])
     assert skeleton.skeleton("ي ى ك") == skeleton.skeleton("ی ی ک")
     forms = df.select("id", skeleton.consistent_text(F.col("text")).alias("t")).where("id in (9, 10)").orderBy("id").collect()
