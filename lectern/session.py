@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.errors import ConfigError
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -22,6 +26,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "lecter
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,12 +36,16 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "lecter
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used as it is. Only a session that names
-    none, as in tests on one machine, gets a temporary one.
+    The folder the cluster names in ``spark.checkpoint.dir`` is used as it is. Only a session on one machine that names
+    none, as in tests, gets a temporary one, which is removed at the end; elsewhere a shared folder is required.
     """
     spark = df.sparkSession
     if not spark.conf.get(CHECKPOINT_KEY, None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -21,7 +21,7 @@ def test_publication_swaps_all_tables_at_once(spark, tmp_path):
     assert store.read("a").count() == 5 and store.read("b").count() == 2
     three = store.stage({"a": spark.range(1)})
     store.publish(three)
-    assert store.clean(keep=1) == [one] and store.versions() == [two, three]
+    assert store.clean(keep=0) == [one] and store.versions() == [two, three]
     with pytest.raises(VerificationError):
         store.publish(99)
 
