@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as t
+from lectern.operators.gate import evidence_score
 
 # What is said instead of an answer.
 REFUSALS = {
@@ -80,55 +81,90 @@ def merge_spans(picked: DataFrame, texts: DataFrame) -> DataFrame:
     ).drop("island")
 
 
-def build_answers(questions: DataFrame, top: DataFrame, terms: DataFrame, chunks: DataFrame, gate: DataFrame, least_overlap: float = 0.15, budget: int = 5) -> DataFrame:
-    """One row per question: question_id, status, answer, segments, citations, evidence_score, reason, language.
+def quoted_slices(top: DataFrame, terms: DataFrame, chunks: DataFrame, least_overlap: float = 0.15, budget: int = 5) -> DataFrame:
+    """(question_id, citation_id, chunk_id, start, end, slice): what is quoted for each question, numbered by document, version and
+    ordinal of the chunks, so that the numbers do not hang on the ranking."""
+    picked = select_sentences(top, terms, least_overlap, budget).select("question_id", "chunk_id", "rank", "start", "end")
+    spans = merge_spans(picked.unionByName(fallback_sentences(top, picked, budget)), chunks)
+    laid = spans.join(chunks.select("chunk_id", "doc_id", "doc_version", "ordinal", "text"), "chunk_id")
+    number = F.dense_rank().over(Window.partitionBy("question_id").orderBy("doc_id", "doc_version", "ordinal", "chunk_id"))
+    slice_ = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return laid.select("question_id", number.alias("citation_id"), "chunk_id", "start", "end", slice_.alias("slice"))
+
+
+def citation_record() -> Column:
+    """Struct of a citation: where the chunk stands, by breadcrumb, page and lines, and all of its text. Lines come in pairs or not at all."""
+    lines = F.when(F.col("line_start").isNotNull() & F.col("line_end").isNotNull(), F.array("line_start", "line_end"))
+    return F.struct(
+        "citation_id", "doc_id", "document", "doc_version", F.array_join("section_path", " > ").alias("section"), F.col("page_start").alias("page"),
+        lines.alias("lines"), "chunk_id", F.array(F.col("char_start"), F.col("char_start") + F.length("text")).alias("char_span"),
+        F.col("text").alias("excerpt"), F.round("score", 4).alias("score"),
+    )
+
 
-    questions has question_id, question and terms; chunks has chunk_id, doc_id, doc_version, ordinal and text. Slices are quoted verbatim in
-    the order of the documents, each with the number of its citation. A question without terms is invalid, one that the
-    gate refuses, or that has no candidates, gets the refusal of its language.
+def debug_records(window: DataFrame, gate: DataFrame) -> DataFrame:
+    """(question_id, debug): the gate's signals and verdict, and the scores of all candidates in their order."""
+    r = lambda c, n: F.round(c, n).alias(c)
+    candidate = F.struct(
+        "rank", "chunk_id", r("score", 6), "similarity", "bm25", "lexical_score", r("token_coverage", 4), "dense_rank", "lexical_rank"
+    )
+    lists = window.groupBy("question_id").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))  # at most the window of each question
+    signals = [r(c, 4) for c in ("max_dense", "lexical", "token_coverage", "overlap")]
+    judged = gate.select("question_id", F.struct("passed", "reason", *signals, "candidate_count").alias("gate"))
+    return judged.join(lists, "question_id", "left").select("question_id", F.struct("gate", "candidates").alias("debug"))
+
+
+def build_answers(
+    questions: DataFrame, top: DataFrame, terms: DataFrame, chunks: DataFrame, gate: DataFrame, least_overlap: float = 0.15, budget: int = 5,
+    empty: bool = False, debug: DataFrame | None = None,
+) -> DataFrame:
+    """One row per question: question_id, status, answer, segments, citations, evidence_score, reason, language, and debug if given.
+
+    questions has question_id, question and terms, and error_code where a request is not valid; chunks has chunk_id, doc_id, document,
+    doc_version, ordinal, section_path, page_start, line_start, line_end, char_start and text. Slices are quoted verbatim in the order
+    of the documents, each with the number of its citation. A question without terms is invalid, one that the gate refuses, or that has no
+    candidates, gets the refusal of its language; ``empty`` says that there is no chunk at all.
     """
     passed = gate.where("passed").select("question_id")
-    allowed = top.join(passed, "question_id", "left_semi")
-    picked = select_sentences(allowed, terms, least_overlap, budget).select("question_id", "chunk_id", "rank", "start", "end")
-    spans = merge_spans(picked.unionByName(fallback_sentences(allowed, picked, budget)), chunks)
-    places = chunks.select("chunk_id", "doc_id", "doc_version", "ordinal", "text", "section_path_json", "char_start")
-    laid = spans.join(places, "chunk_id").join(top.select("question_id", "chunk_id", "score"), ["question_id", "chunk_id"])
-    number = F.dense_rank().over(Window.partitionBy("question_id").orderBy("doc_id", "doc_version", "ordinal", "chunk_id"))
-    slices = laid.withColumn("citation_id", number).withColumn("slice", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    slices = quoted_slices(top.join(passed, "question_id", "left_semi"), terms, chunks, least_overlap, budget)
+    places = chunks.select("chunk_id", "doc_id", "document", "doc_version", "section_path", "page_start", "line_start", "line_end", "char_start", "text")
+    laid = slices.join(places, "chunk_id").join(top.select("question_id", "chunk_id", "score"), ["question_id", "chunk_id"])
     segment = F.struct("citation_id", "start", "end", F.col("slice").alias("text"))
-    citation = F.struct(
-        "citation_id", "doc_id", "doc_version", "chunk_id", F.col("section_path_json").alias("section_path"),
-        F.col("char_start").alias("char_start"), (F.col("char_start") + F.length("text")).alias("char_end"), F.col("text").alias("excerpt"), "score",
-    )
-    built = slices.groupBy("question_id").agg(
+    built = laid.groupBy("question_id").agg(
         F.array_sort(F.collect_list(segment)).alias("segments"),  # at most the budget
-        F.array_sort(F.collect_set(citation)).alias("citations"),
+        F.array_sort(F.collect_set(citation_record())).alias("citations"),
     )
     rendered = F.array_join(F.transform("segments", lambda s: F.concat(s["text"], F.lit(" ["), s["citation_id"], F.lit("]"))), " ")
-    from lectern.operators.gate import evidence_score
-
-    judged = questions.join(gate.withColumn("score", evidence_score()), "question_id", "left").join(built, "question_id", "left")
+    judged = questions.join(gate.withColumn("evidence", evidence_score()), "question_id", "left").join(built, "question_id", "left")
+    if debug is not None:
+        judged = judged.join(debug, "question_id", "left")
     language = answer_language(F.col("question"))
     refusal = F.when(language == "fa", REFUSALS["fa"]).otherwise(REFUSALS["en"])
-    answered, valid = F.col("segments").isNotNull(), F.size("terms") > 0
+    invalid = F.coalesce(F.size("terms") == 0, F.lit(True))
+    if "error_code" in questions.columns:
+        invalid = invalid | F.col("error_code").isNotNull()
+    answered = F.col("segments").isNotNull() & ~invalid
+    missing = F.lit("empty_knowledge_base" if empty else "no_relevant_content")
     return judged.select(
         "question_id",
-        F.when(~F.coalesce(valid, F.lit(False)), "invalid_question").when(answered, "answered").otherwise("insufficient_information").alias("status"),
+        F.when(invalid, "invalid_question").when(answered, "answered").otherwise("insufficient_information").alias("status"),
         F.when(answered, rendered).otherwise(refusal).alias("answer"),
-        "segments",
-        "citations",
-        F.when(answered, F.col("score")).otherwise(0.0).alias("evidence_score"),
-        F.when(answered, F.lit(None)).otherwise(F.coalesce("reason", F.lit("no_relevant_content"))).alias("reason"),
+        F.when(answered, F.col("segments")).alias("segments"),
+        F.when(answered, F.col("citations")).alias("citations"),
+        F.when(answered, F.round("evidence", 4)).otherwise(0.0).alias("evidence_score"),
+        F.when(answered, F.lit(None)).otherwise(F.coalesce("reason", missing)).alias("reason"),
         language.alias("language"),
+        *(["debug"] if debug is not None else []),
     )
 
 
 def verify_citations(excerpts: DataFrame, chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """(question_id, citation_no, problem) of citations whose excerpt is not their chunk's text, or whose chunk is not the slice of
-    the source that it names. No rows: all are verbatim."""
-    source = versions.select("doc_id", F.col("version").alias("doc_version"), "source_text").dropDuplicates(["doc_id", "doc_version"])
-    held = chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    joined = excerpts.dropDuplicates(["question_id", "citation_no"]).join(held, "chunk_id", "left").join(source, ["doc_id", "doc_version"], "left")
+    the source that it names. No rows: all are verbatim. Of repeated rows of a chunk or version the greatest text counts."""
+    source = versions.groupBy("doc_id", F.col("version").alias("doc_version")).agg(F.max("source_text").alias("source_text"))
+    held = chunks.groupBy("chunk_id").agg(F.max("text").alias("text"))
+    rows = excerpts.select("question_id", "citation_no", "chunk_id", "doc_id", "doc_version", "char_start", "char_end", "excerpt").distinct()
+    joined = rows.join(held, "chunk_id", "left").join(source, ["doc_id", "doc_version"], "left")
     slice_ = F.substring("source_text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     problem = (
         F.when(F.col("text").isNull(), "no_chunk")

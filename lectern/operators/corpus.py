@@ -87,7 +87,7 @@ def eligible_chunks(
     chunk_ids: list[str] | None = None,
     language: str | None = None,
 ) -> DataFrame:
-    """Chunks of current versions of active documents, each key once.
+    """Chunks of current versions of active documents, each key once: of repeated rows the greatest by ordinal, hash and text.
 
     A filter that is None does not filter, an empty list lets nothing through. Filters reach the scan.
     """
@@ -98,7 +98,27 @@ def eligible_chunks(
     if language is not None:
         found = found.where(F.col("language") == language)
     current = documents.where(F.col("status") == "active").select("doc_id", F.col("current_version").alias("doc_version"))
-    return found.join(current, ["doc_id", "doc_version"], "left_semi").dropDuplicates(["chunk_id"])
+    return first_of_chunk(found.join(current, ["doc_id", "doc_version"], "left_semi"))
+
+
+def first_of_chunk(chunks: DataFrame) -> DataFrame:
+    """One row for each chunk_id. Only ids and hashes of rows are compared, so that texts are not sorted."""
+    order = [F.desc(c) for c in ("ordinal", "chunk_hash") if c in chunks.columns] + [F.desc(F.xxhash64(*chunks.columns))]
+    return chunks.withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).where("nth = 1").drop("nth")
+
+
+def source_texts(versions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, version, source_text) of the current version of every active document; of repeated rows the greatest text."""
+    current = documents.where(F.col("status") == "active").select("doc_id", F.col("current_version").alias("version"))
+    found = versions.join(current, ["doc_id", "version"], "left_semi")
+    return found.groupBy("doc_id", "version").agg(F.max("source_text").alias("source_text"))
+
+
+def version_facts(versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, version, state, chunks): every version with the state of its last row and its number of chunks."""
+    counts = chunks.groupBy("doc_id", F.col("doc_version").alias("version")).agg(F.count_distinct("chunk_id").alias("chunks"))
+    found = distinct_versions(versions).select("doc_id", "version", "state").join(counts, ["doc_id", "version"], "left")
+    return found.withColumn("chunks", F.coalesce("chunks", F.lit(0)))
 
 
 def document_page(documents: DataFrame, offset: int, limit: int) -> DataFrame:

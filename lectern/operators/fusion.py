@@ -10,12 +10,19 @@ from lectern.errors import ConfigError
 
 
 def fuse(
-    dense: DataFrame, lexical: DataFrame, dense_weight: float = 0.9, lexical_weight: float = 0.1, k: int = 60, limit: int | None = 30
+    dense: DataFrame,
+    lexical: DataFrame,
+    dense_weight: float = 0.9,
+    lexical_weight: float = 0.1,
+    k: int = 60,
+    limit: int | None = 30,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """(question_id, chunk_id, dense_rank, lexical_rank, similarity, bm25, lexical_score, score, rank).
 
     The score is the sum of weight / (k + rank) over the arms that have the chunk. An arm of weight 0 is left out with
-    everything that only it has. Ties go to the smaller chunk_id.
+    everything that only it has. Ties go to the smaller chunk_id. With ``allowed`` only its chunks stay; as they are sorted out behind the
+    arms' windows and before the limit, a narrow filter may leave few.
     """
     if k <= 0 or min(dense_weight, lexical_weight) < 0:
         raise ConfigError("k must be positive and weights must not be negative")
@@ -28,6 +35,8 @@ def fuse(
     )
     part = lambda w, rank: F.coalesce(F.lit(float(w)) / (F.lit(k) + F.col(rank)), F.lit(0.0))
     scored = both.withColumn("score", part(dense_weight, "dense_rank") + part(lexical_weight, "lexical_rank"))
+    if allowed is not None:
+        scored = scored.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)

@@ -10,6 +10,7 @@ from lectern.config import EngineConfig
 from lectern.functions import identity, text as t
 from lectern.functions.vectors import hash_embedding
 from lectern.operators import answering, chunking, corpus, dense, diff, embedding, fusion, gate, lexical
+from lectern.operators.requests import request_error
 from lectern.plans import evaluation, sql
 from lectern.plans.registry import CORE
 from lectern.session import checkpointed, table
@@ -19,7 +20,7 @@ MODEL = "fenlark-embed-64"
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    asked = table(spark, folder, "questions").groupBy("question_id").agg(F.first("question").alias("question"))
+    asked = table(spark, folder, "questions").groupBy("question_id").agg(F.max("question").alias("question"))
     return asked.withColumn("terms", t.query_terms(t.tokenize(F.col("question"))))
 
 
@@ -43,7 +44,7 @@ def _arms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def _covered(spark: SparkSession, folder: str) -> DataFrame:
     fused = checkpointed(fusion.fuse(*_arms(spark, folder)))  # read twice below
-    texts = table(spark, folder, "chunks").groupBy("chunk_id").agg(F.first("text").alias("text"))
+    texts = table(spark, folder, "chunks").groupBy("chunk_id").agg(F.max("text").alias("text"))
     needed = texts.join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", t.tokenize(F.col("text")).alias("tokens"))
     terms = _asked(spark, folder).select("question_id", "terms")
     joined = fused.join(needed, "chunk_id").join(terms, "question_id")
@@ -406,10 +407,20 @@ def gate_verdict(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("question_id", "reason", "passed", F.round(gate.evidence_score(), 6).alias("evidence_score"))
 
 
-def _answers(spark: SparkSession, folder: str, config: EngineConfig | None = None) -> DataFrame:
+def _citable(spark: SparkSession, folder: str) -> DataFrame:
+    """Eligible chunks with what a citation shows: the source name of the document and the breadcrumb as an array."""
+    named = table(spark, folder, "eligible_snapshots").groupBy("doc_id").agg(F.max("source_name").alias("document"))
+    path = F.from_json("section_path_json", "array<string>").alias("section_path")
+    rows = _eligible(spark, folder).select("*", path).drop("section_path_json")
+    return rows.join(named, "doc_id", "left")
+
+
+def _answers(spark: SparkSession, folder: str, config: EngineConfig | None = None, debug: bool = False) -> DataFrame:
     c = config or EngineConfig()
-    asked = _asked(spark, folder)
-    chunks = checkpointed(_eligible(spark, folder).withColumn("tokens", t.tokenize(F.col("text"))))
+    checked = _asked(spark, folder).withColumn("error_code", request_error(F.col("question"), F.col("terms")))
+    checked = checkpointed(checked)  # read by both arms and the answers
+    asked = checked.where("error_code IS NULL")  # nothing is searched or embedded for the others
+    chunks = checkpointed(_citable(spark, folder).withColumn("tokens", t.tokenize(F.col("text"))))
     words = lexical.bm25(asked, chunks.select("chunk_id", "tokens"), c.candidates)
     vectors = chunks.select(F.col("chunk_id").alias("id"), hash_embedding(F.col("text")).alias("vector"))
     asking = asked.select(F.col("question_id").alias("query_id"), hash_embedding(F.col("question")).alias("vector"))
@@ -421,7 +432,8 @@ def _answers(spark: SparkSession, folder: str, config: EngineConfig | None = Non
     judged = gate.verdict(gate.signals(covered, c.top_k))
     terms = asked.select("question_id", F.explode("terms").alias("term"))
     top = window.where(F.col("rank") <= c.top_k)
-    return answering.build_answers(asked, top, terms, chunks, judged, budget=c.max_sentences)
+    shown = answering.debug_records(covered, judged) if debug else None
+    return answering.build_answers(checked, top, terms, chunks, judged, budget=c.max_sentences, empty=chunks.isEmpty(), debug=shown)
 
 
 @CORE.query("answers")
@@ -430,6 +442,12 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     return _answers(spark, folder)
 
 
+@CORE.query("answers_debug")
+def answers_debug(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers with the gate's signals and the scores of all candidates."""
+    return _answers(spark, folder, debug=True)
+
+
 @CORE.query(
     "verify_citations",
     """WITH k AS (SELECT chunk_id, any_value(text) AS text FROM chunks GROUP BY chunk_id),
