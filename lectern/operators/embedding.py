@@ -77,3 +77,33 @@ def plan_batches(items: DataFrame, config: EngineConfig | None = None) -> DataFr
     return ordered.withColumn("part", F.spark_partition_id()).mapInPandas(
         run, f"item {kind}, batch_part int, batch_no int, error string"
     )
+
+
+def plan_document_batches(items: DataFrame, config: EngineConfig | None = None) -> DataFrame:
+    """(doc_id, item, batch_no, error): the same greedy batches for each document by itself, in the order of its items.
+
+    items has distinct (doc_id, item) with chars; null counts as 0. A document's items pass through one task in their order, but are
+    never held together.
+    """
+    c = config or EngineConfig()
+    kinds = [items.schema[n].dataType.simpleString() for n in ("doc_id", "item")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, batch, count, chars = None, 0, 0, 0
+        for frame in frames:
+            numbers: list[int | None] = []
+            for doc, n in zip(frame["doc_id"], frame["chars"].fillna(0)):
+                if doc != document:
+                    document, batch, count, chars = doc, 0, 0, 0
+                if n > c.item_chars:
+                    numbers.append(None)
+                    continue
+                if count and (count == c.batch_items or chars + n > c.batch_chars):
+                    batch, count, chars = batch + 1, 0, 0
+                count, chars = count + 1, chars + n
+                numbers.append(batch)
+            errors = [None if n is not None else "FILE_TOO_LARGE" for n in numbers]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "item": frame["item"], "batch_no": pd.array(numbers, dtype="Int32"), "error": errors})
+
+    ordered = items.select("doc_id", "item", "chars").repartition("doc_id").sortWithinPartitions("doc_id", "item")
+    return ordered.mapInPandas(run, f"doc_id {kinds[0]}, item {kinds[1]}, batch_no int, error string")

@@ -28,6 +28,74 @@ def retrieval_metrics(cases: DataFrame, *by: str) -> DataFrame:
     return cases.groupBy(*by).agg(F.count("*").alias("cases"), at(1), at(3), at(5), mrr)
 
 
+def gold_ranks(cases: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(case_id, gold_id, rank): the first candidate of the gold's document whose text holds its phrase; null where there is none.
+
+    cases has case_id, gold_id, doc and phrase, candidates has case_id, rank, doc and text. The join is on case and document; only then are
+    texts searched, for the phrase as it is.
+    """
+    met = cases.join(candidates.withColumnRenamed("rank", "place"), ["case_id", "doc"], "left")
+    holds = F.contains("text", F.col("phrase"))
+    return met.groupBy("case_id", "gold_id").agg(F.min(F.when(holds, F.col("place"))).alias("rank"))
+
+
+def gold_quoted(cases: DataFrame, citations: DataFrame) -> DataFrame:
+    """(case_id, golds, quoted): of the golds of a case, how many phrases stand in an excerpt that its answer cites."""
+    met = cases.join(citations.select("case_id", "excerpt"), "case_id", "left")
+    held = met.groupBy("case_id", "gold_id").agg(F.coalesce(F.max(F.contains("excerpt", F.col("phrase"))), F.lit(False)).alias("held"))
+    return held.groupBy("case_id").agg(F.count("*").alias("golds"), F.count_if("held").alias("quoted"))
+
+
+def case_metrics(cases: DataFrame, *by: str) -> DataFrame:
+    """All rates over (case_id, answerable, answered, hit_rank, golds, quoted), by the given columns.
+
+    Recall and reciprocal rank are over the answerable cases, quoted shares over those of them that were answered: ``quoted_share`` of all
+    their golds, ``fully_quoted`` of the cases. A rate without cases is 0.
+    """
+    yes, told = F.col("answerable"), F.col("answered")
+    rate = lambda part, whole: F.coalesce(F.try_divide(F.count_if(part), F.count_if(whole)), F.lit(0.0))
+    mrr = F.sum(F.when(yes & (F.col("hit_rank") <= 5), 1.0 / F.col("hit_rank")).otherwise(0.0))
+    golds = F.sum(F.when(yes & told, F.col("golds")))
+    return cases.groupBy(*by).agg(
+        F.count_if(yes).alias("answerable_cases"), F.count_if(~yes).alias("other_cases"),
+        *(rate(yes & (F.col("hit_rank") <= k), yes).alias(f"recall_{k}") for k in (1, 3, 5)),
+        F.coalesce(F.try_divide(mrr, F.count_if(yes)), F.lit(0.0)).alias("mrr_5"),
+        rate(yes & told, yes).alias("answered_rate"), rate(~yes & told, ~yes).alias("false_rate"), F.count_if(~yes & told).alias("false_answers"),
+        F.coalesce(F.try_divide(F.sum(F.when(yes & told, F.col("quoted"))), golds), F.lit(0.0)).alias("quoted_share"),
+        rate(yes & told & (F.col("golds") > 0) & (F.col("quoted") == F.col("golds")), yes & told).alias("fully_quoted"),
+    )
+
+
+def missed_golds(cases: DataFrame, ranks: DataFrame, citations: DataFrame, top_k: int = 5) -> DataFrame:
+    """(case_id, gold_id, cause) of the golds that an answer did not quote.
+
+    ``retrieval``: no citation is of the gold's document. ``answerer``: its chunk was among the first ``top_k``, and its sentence was left
+    out. ``truncation``: it stood further down or nowhere. cases are those answered; citations has case_id, doc and excerpt.
+    """
+    cited = citations.groupBy("case_id", "doc").agg(F.lit(True).alias("cited"))
+    quoted = cases.join(citations.select("case_id", "excerpt"), "case_id").where(F.contains("excerpt", F.col("phrase"))).select("case_id", "gold_id").distinct()
+    missed = cases.join(quoted, ["case_id", "gold_id"], "left_anti").join(cited, ["case_id", "doc"], "left").join(ranks, ["case_id", "gold_id"], "left")
+    cause = F.when(F.col("cited").isNull(), "retrieval").when(F.col("rank") <= top_k, "answerer").otherwise("truncation")
+    return missed.select("case_id", "gold_id", cause.alias("cause"))
+
+
+def regate(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """(config, case_id, passed): the gate's verdict on stored signals under each row of bars (config, min_dense, min_coverage,
+    min_coverage_high), a small table; nothing is searched again."""
+    each = signals.crossJoin(F.broadcast(bars))
+    covered = (F.col("max_dense") >= F.col("min_dense")) & (F.col("token_coverage") >= F.col("min_coverage"))
+    passed = (F.col("candidate_count") > 0) & (covered | (F.col("token_coverage") >= F.col("min_coverage_high")))
+    return each.select("config", "case_id", passed.alias("passed"))
+
+
+def stale_leaks(quotes: DataFrame, removed: DataFrame) -> DataFrame:
+    """(case_id, phrase) of answers that still quote a phrase which the current version of its document no longer holds.
+
+    quotes has case_id, doc and excerpt, removed has doc and phrase.
+    """
+    return quotes.join(removed, "doc").where(F.contains("excerpt", F.col("phrase"))).select("case_id", "phrase").distinct()
+
+
 def gate_metrics(cases: DataFrame, *by: str) -> DataFrame:
     """Rates of (answerable, passed): answered of the answerable, false answers of the others, by the given columns."""
     share = lambda c: F.avg(F.when(c, F.col("passed").cast("double")))

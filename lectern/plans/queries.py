@@ -1,6 +1,6 @@
 """All queries of the core."""
 
-from lectern.plans import qa_queries, snapshot_queries  # noqa: F401
+from lectern.plans import engine_queries, qa_queries, snapshot_queries  # noqa: F401
 from lectern.plans.registry import CORE, Query
 
 

@@ -1,6 +1,20 @@
 """Common pieces of the SQL that the queries are held against."""
 
-from lectern.functions.text import FOLDED, FOLDED_TO, STOPWORDS
+import unicodedata
+
+# Written down here once more, so that a slip in the library's own tables shows.
+# Letters and digits folded to one form.
+YEH_KAF, PLAIN_YEH_KAF = "\u064a\u0643\u0649", "\u06cc\u06a9\u06cc"
+DIGITS = "".join(chr(0x660 + i) for i in range(10)) + "".join(chr(0x6F0 + i) for i in range(10))
+FOLDED, FOLDED_TO = YEH_KAF + DIGITS, PLAIN_YEH_KAF + "0123456789" * 2
+# Words without weight, in the order of the alphabet.
+STOPWORDS = (
+    "a an and are as at be but by can could did do does for from has have he her his i in is it its no not of on or she should "
+    "that the their them they this to was were what when where which who will with would you your "
+    "آن از است اما این با بر برای به تا در دو دیگر را شد شود ها های هر هم همه و گفت می نیز کرد کند که یا یک بود"
+).split()
+# Words after which a point ends no sentence.
+SHORT_FORMS = "al co dr eq etc fig inc jr ltd mr mrs ms no prof sr st vs".split()
 
 FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -33,15 +47,53 @@ def normalized(column: str) -> str:
     return rf"trim(regexp_replace({t}, '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
-def tokens(column: str) -> str:
-    """Distinct tokens of a text, as a list in no order."""
+def raw_tokens(column: str) -> str:
+    """Tokens of a text in their order, with repeats."""
     raw = rf"string_split_regex({normalized(column)}, '[^\p{{L}}\p{{N}}_\x{{200C}}\-.]+')"
     bare = rf"list_transform({raw}, lambda x: regexp_replace(regexp_replace(x, '\.+$', ''), '^[-_]+|[-_]+$', '', 'g'))"
     forms = (
         f"list_transform({bare}, lambda x: CASE WHEN contains(x, chr(8204)) "
         "THEN list_concat([x, replace(x, chr(8204), '')], string_split(x, chr(8204))) ELSE [x] END)"
     )
-    return f"list_distinct(list_filter(list_transform(flatten({forms}), lambda x: lower(x)), lambda x: x <> ''))"
+    return f"list_filter(list_transform(flatten({forms}), lambda x: lower(x)), lambda x: x <> '')"
+
+
+def tokens(column: str) -> str:
+    """Distinct tokens of a text, as a list in no order."""
+    return f"list_distinct({raw_tokens(column)})"
+
+
+MARKED = [chr(c) for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<")]
+
+
+def _bare(char: str) -> str:
+    while parts := unicodedata.decomposition(char):
+        char = chr(int(parts.split()[0], 16))
+    return char
+
+
+def parts(column: str) -> str:
+    """Letters and digits of a list of tokens, cut at everything else, without accents, in order."""
+    plain = f"translate(array_to_string({column}, ' '), {quoted(''.join(MARKED))}, {quoted(''.join(map(_bare, MARKED)))})"
+    return rf"list_filter(string_split_regex({plain}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def sentences(source: str, key: str) -> str:
+    """Common tables that end with ``sentences`` (key, start, end, text) of a source with key and text."""
+    short = ", ".join(map(quoted, SHORT_FORMS))
+    return rf"""
+source_rows AS (SELECT {key}, text FROM {source} WHERE text IS NOT NULL),
+spots AS (SELECT {key}, text, unnest(range(1, length(text) + 1)) AS i FROM source_rows),
+cuts AS (
+  SELECT {key}, text, i FROM spots WHERE substring(text, i, 1) IN ('.', '!', '?', chr(1567), chr(1748))
+  AND NOT (substring(text, i, 1) = '.' AND (regexp_full_match(substring(text, i + 1, 1), '\p{{Nd}}')
+    OR lower(regexp_extract(substring(text, 1, i - 1), '([^	
+
+ ]*)$', 1)) IN ({short})))
+), ends AS (SELECT * FROM cuts UNION SELECT {key}, text, length(text) FROM source_rows),
+bounds AS (SELECT {key}, text, i AS stop, coalesce(lag(i) OVER (PARTITION BY {key}, text ORDER BY i), 0) AS since FROM ends),
+bare AS (SELECT {key}, stop, regexp_replace(substring(text, since + 1, stop - since), '^[\s\p{{Z}}]+', '') AS bare FROM bounds),
+sentences AS (SELECT {key}, stop - length(bare) AS start, stop AS "end", bare AS text FROM bare WHERE bare <> '')"""
 
 
 STOP = "[" + ", ".join(map(quoted, STOPWORDS)) + "]"
