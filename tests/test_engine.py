@@ -6,46 +6,29 @@ from pyspark.sql import functions as F
 from lectern.config import EngineConfig, Thresholds, load_thresholds, save_thresholds
 from lectern.errors import ConfigError
 from lectern.functions import text as t
-from lectern.operators import answering, chunking, corpus, dense, diff, embedding, fusion, gate, lexical
+from lectern.operators import answering, chunking, corpus, dense, diff, embedding, fusion, gate, lexical, vector_index
+from lectern.operators.requests import request_error
 from lectern.plans import evaluation
-from lectern.sources.files import parse_files, parse_pages, parse_texts, section_rows
+from lectern.plans.report import render
+from lectern.sources.files import parse_files, parse_pages, parse_texts, read_cases, section_rows
 from lectern.sources.sections import markdown_sections, text_sections
 
 
-def _spans(text, c):
-    """Greedy packing and hard cap, one step after the other."""
-    if len(text) <= c.hard_chars:
-        return [(0, len(text))]
-    spans, start, end = [], 0, 0
-    from tests.test_text import _sentences
-
-    for a, b in _sentences(text):
-        if end > start and end - start + (b - a) > c.target_chars:
-            spans.append((start, end))
-            start = max(start, end - c.overlap_chars)
-        end = b
-    if end > start:
-        spans.append((start, end))
-    out = []
-    for a, b in spans:
-        at = a
-        while b - a <= c.hard_chars and at == a or b - a > c.hard_chars and at < b:
-            out.append((at, min(at + c.hard_chars, b)))
-            at += c.hard_chars - c.overlap_chars
-    if out and out[-1][1] < len(text):
-        out.append((out[-1][0], len(text)))
-    return out
-
-
-def test_chunks_are_slices_and_agree_with_a_plain_version(spark):
-    c = EngineConfig(chunk_target_tokens=20, chunk_hard_max_tokens=40)
+def test_chunks_are_slices_of_the_expected_windows(spark):
+    c = EngineConfig(chunk_target_tokens=20, chunk_hard_max_tokens=40)  # 30 characters, 60 at most, 4 repeated
     texts = ["One. Two! " * 9, "word " * 40, "Short.", "a" * 200 + ". " + "b c. " * 20]
+    windows = [
+        [(0, 29), (25, 54), (50, 79), (75, 89)],
+        [(0, 60), (56, 116), (112, 172), (168, 199)],
+        [(0, 6)],
+        [(0, 60), (56, 116), (112, 172), (168, 201), (197, 226), (222, 251), (247, 276), (272, 301)],
+    ]
     rows = [(i, 0, 0, x.strip(), ["T"], None, None, 1, 1) for i, x in enumerate(texts)] + [(9, 0, 0, " \n", ["T"], None, None, 1, 1)]
     schema = "doc_id int, section_no int, char_start int, body string, section_path array<string>, page_start int, page_end int, line_start int, line_end int"
     got = chunking.chunk_sections(spark.createDataFrame(rows, schema), c).orderBy("doc_id", "ordinal").collect()
     for i, x in enumerate(texts):
         mine = [r for r in got if r.doc_id == i]
-        assert [(r.char_start, r.char_end) for r in mine] == [s for s in _spans(x.strip(), c)]
+        assert [(r.char_start, r.char_end) for r in mine] == windows[i]
         assert [r.ordinal for r in mine] == list(range(len(mine)))
         assert all(x.strip()[r.char_start : r.char_end] == r.text for r in mine)
     assert not [r for r in got if r.doc_id == 9]
@@ -133,6 +116,66 @@ def test_bm25_and_stopwords(spark):
     assert found[0].lexical_score == 1.0 and 0 < found[1].lexical_score < 1 and found[0].bm25 < 0
 
 
+def test_parts_of_tokens(spark):
+    chunks = spark.createDataFrame([("a", "err-404 seen"), ("b", "was 404 or 1.1.1"), ("c", "été here"), ("d", "err or 404"), *((f"x{i}", f"word{i}") for i in range(9))], "chunk_id string, text string").select("chunk_id", t.tokenize(F.col("text")).alias("tokens"))
+    q = spark.createDataFrame([("1", "404"), ("2", "err-404"), ("3", "ete"), ("4", "1.1"), ("5", "..")], "question_id string, question string")
+    asked = q.withColumn("terms", t.query_terms(t.tokenize(F.col("question"))))
+    found = {}
+    for r in lexical.bm25(asked, chunks, parts=True).collect():
+        found.setdefault(r.question_id, set()).add(r.chunk_id)
+    assert found == {"1": {"a", "b", "d"}, "2": {"a"}, "3": {"c"}, "4": {"b"}}
+    assert {r.chunk_id for r in lexical.bm25(asked.where("question_id = '1'"), chunks).collect()} == {"b", "d"}
+
+
+def test_requests_have_bounds(spark):
+    rows = [("ok", "what pump", 5, "en"), ("null", None, 5, "en"), ("long", "x" * 2001, 5, "en"), ("none", "", 5, None), ("top", "pump", 51, None), ("lang", "pump", None, "de"), ("stop", "the of", None, None)]
+    df = spark.createDataFrame(rows, "id string, q string, k int, l string").withColumn("terms", t.query_terms(t.tokenize(F.col("q"))))
+    got = {r.id: r.e for r in df.select("id", request_error(F.col("q"), F.col("terms"), F.col("k"), F.col("l")).alias("e")).collect()}
+    bad = dict.fromkeys(("null", "long", "none", "top", "lang"), "VALIDATION_ERROR")
+    assert got == {"ok": None, "stop": "INVALID_QUESTION"} | bad
+
+
+def test_evaluation_of_cases(spark):
+    golds = spark.createDataFrame([("a", 0, "d", "red"), ("a", 1, "e", "blue"), ("b", 0, "d", "green"), ("c", 0, "f", "x")], "case_id string, gold_id int, doc string, phrase string")
+    found = spark.createDataFrame([("a", 1, "d", "a red fox"), ("a", 2, "d", "blue"), ("a", 3, "e", "so blue"), ("b", 7, "d", "green")], "case_id string, rank int, doc string, text string")
+    cited = spark.createDataFrame([("a", "d", "a red fox"), ("b", "d", "grey"), ("c", "g", "y")], "case_id string, doc string, excerpt string")
+    ranks = evaluation.gold_ranks(golds, found)
+    assert {(r.case_id, r.gold_id): r["rank"] for r in ranks.collect()} == {("a", 0): 1, ("a", 1): 3, ("b", 0): 7, ("c", 0): None}
+    assert {r.case_id: (r.golds, r.quoted) for r in evaluation.gold_quoted(golds, cited).collect()} == {"a": (2, 1), "b": (1, 0), "c": (1, 0)}
+    causes = {(r.case_id, r.gold_id): r.cause for r in evaluation.missed_golds(golds, ranks, cited).collect()}
+    assert causes == {("a", 1): "retrieval", ("b", 0): "truncation", ("c", 0): "retrieval"}
+    cases = spark.createDataFrame([(True, True, 3, 2, 1), (True, False, None, 1, 0), (False, True, None, 0, 0), (False, False, None, 0, 0)], "answerable boolean, answered boolean, hit_rank int, golds long, quoted long")
+    m = evaluation.case_metrics(cases).first()
+    assert (m.recall_1, m.recall_3, m.answered_rate, m.false_rate, m.false_answers, m.quoted_share, m.fully_quoted) == (0, 0.5, 0.5, 0.5, 1, 0.5, 0)
+    assert m.mrr_5 == pytest.approx(1 / 6)
+    none = evaluation.case_metrics(cases.where("false")).first()
+    assert (none.recall_1, none.quoted_share, none.answerable_cases) == (0, 0, 0)
+    text = render("Run", {"Metrics": evaluation.case_metrics(cases), "Leaks": ranks.where("false")}, ["one | note"])
+    assert text.startswith("# Run\n\n## Metrics\n\n| answerable_cases |") and "## Leaks\n\nNone." in text
+
+
+def test_vector_index(spark):
+    old = spark.createDataFrame([("a", "m", 2, [1.0, 0.0]), ("b", "m", 2, [0.0, 1.0]), ("a", "n", 3, [1.0, 0.0, 0.0])], "chunk_id string, model_id string, dim int, vector array<double>")
+    fresh = spark.createDataFrame([("b", [5.0, 5.0]), ("c", [1.0]), ("d", None), (None, [1.0, 1.0]), ("e", [float("nan"), 1.0]), ("f", [2.0, 2.0])], "chunk_id string, vector array<double>")
+    after = vector_index.upsert_vectors(old, fresh, "m", 2)
+    assert sorted((r.chunk_id, r.model_id, r.vector[0]) for r in after.collect()) == [("a", "m", 1.0), ("a", "n", 1.0), ("b", "m", 5.0), ("f", "m", 2.0)]
+    assert sorted((r.chunk_id or "", r.length) for r in vector_index.misfits(fresh, 2).collect() if r.length) == [("", 2), ("c", 1), ("e", 2)]
+    gone = vector_index.delete_vectors(after, spark.createDataFrame([("a",), ("zz",)], "chunk_id string"))
+    assert sorted(r.chunk_id for r in gone.collect()) == ["b", "f"]
+    asked = spark.createDataFrame([("a",), ("x",)], "chunk_id string")
+    assert {r.chunk_id: r.present for r in vector_index.presence(asked, after, "m").collect()} == {"a": True, "x": False}
+    assert vector_index.open_collection(after, "m", 2).count() == 3 and vector_index.open_collection(after, "new", 9).count() == 0
+    with pytest.raises(ConfigError):
+        vector_index.open_collection(after, "m", 3)
+
+
+def test_cases_are_read(spark, tmp_path):
+    path = tmp_path / "cases.jsonl"
+    path.write_text('{"id": "1", "question": "q", "split": "dev", "gold": [{"doc": "d", "must_contain": "x"}]}\n{"id": "2", "absent": "none"}\n', encoding="utf-8")
+    got = {r.id: r for r in read_cases(spark, str(path)).collect()}
+    assert got["1"].gold[0].must_contain == "x" and got["2"].gold is None and got["2"].absent == "none"
+
+
 def test_cosine(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0])], "id int, vector array<float>")
     q = spark.createDataFrame([(1, [3.0, 0.0])], "query_id int, vector array<float>")
@@ -158,9 +201,10 @@ def test_gate_bars_are_inclusive(spark):
 
 def test_answers_quote_and_refuse(spark):
     chunks = spark.createDataFrame(
-        [("d:v1:0", "d", 1, 0, "The pump stops at noon. Nobody knows why. The pump starts at two.", "[]", 10), ("d:v1:1", "d", 1, 1, "Cats sleep.", "[]", 80)],
-        "chunk_id string, doc_id string, doc_version int, ordinal int, text string, section_path_json string, char_start int",
+        [("d:v1:0", "d", 1, 0, "The pump stops at noon. Nobody knows why. The pump starts at two.", ["Manual", "Pump"], 10, None, 3, 4), ("d:v1:1", "d", 1, 1, "Cats sleep.", [], 80, 2, 5, None)],
+        "chunk_id string, doc_id string, doc_version int, ordinal int, text string, section_path array<string>, char_start int, page_start int, line_start int, line_end int",
     )
+    chunks = chunks.withColumn("document", F.lit("manual.md"))
     asked = spark.createDataFrame([("1", "When does the pump stop at noon?"), ("2", "Who sings?"), ("3", "?")], "question_id string, question string").withColumn("terms", t.query_terms(t.tokenize(F.col("question"))))
     top = spark.createDataFrame([("1", "d:v1:0", 1, 0.01), ("1", "d:v1:1", 2, 0.009), ("2", "d:v1:1", 1, 0.01)], "question_id string, chunk_id string, rank int, score double")
     top = top.join(chunks.select("chunk_id", "text", t.tokenize(F.col("text")).alias("tokens")), "chunk_id")
@@ -168,9 +212,17 @@ def test_answers_quote_and_refuse(spark):
     terms = asked.select("question_id", F.explode("terms").alias("term"))
     got = {r.question_id: r for r in answering.build_answers(asked, top, terms, chunks, judged).collect()}
     assert got["1"].answer == "The pump stops at noon. [1] The pump starts at two. [1]" and got["1"].status == "answered"
-    assert got["1"].citations[0].excerpt.startswith("The pump") and got["1"].citations[0].char_start == 10
+    assert got["1"].citations[0].excerpt.startswith("The pump") and got["1"].citations[0].char_span == [10, 75]
+    shown = got["1"].citations[0]
+    assert (shown.document, shown.section, shown.page, shown.lines, shown.score) == ("manual.md", "Manual > Pump", None, [3, 4], 0.01)
     assert got["2"].status == "insufficient_information" and got["2"].reason == "below_threshold" and got["2"].segments is None
     assert got["3"].status == "invalid_question"
+    nobody = answering.build_answers(asked, top.where("false"), terms, chunks.where("false"), judged.where("false"), empty=True).collect()
+    assert {(r.question_id, r.status, r.reason) for r in nobody} == {("1", "insufficient_information", "empty_knowledge_base"), ("2", "insufficient_information", "empty_knowledge_base"), ("3", "invalid_question", "empty_knowledge_base")}
+    window = top.select("*", *(F.lit(0.5).alias(c) for c in ("similarity", "bm25", "lexical_score", "token_coverage")), *(F.lit(1).alias(c) for c in ("dense_rank", "lexical_rank")))
+    debug = answering.debug_records(window, judged)
+    told = {r.question_id: r.debug for r in answering.build_answers(asked, top, terms, chunks, judged, debug=debug).collect()}
+    assert [c.chunk_id for c in told["1"].candidates] == ["d:v1:0", "d:v1:1"] and told["2"].gate.reason == "below_threshold" and told["3"] is None
 
 
 def test_neighbouring_spans_merge(spark):
