@@ -14,6 +14,7 @@ CHARS_PER_TOKEN = 1.5
 class EngineConfig:
     """Sizes, windows and weights; checked on creation."""
 
+    # The defaults of all settings.
     chunk_target_tokens: int = 350
     chunk_hard_max_tokens: int = 700
     chunk_overlap_ratio: float = 0.15
@@ -54,6 +55,22 @@ class EngineConfig:
         return int(self.target_chars * self.chunk_overlap_ratio)
 
 
+def load_config(path: str) -> EngineConfig:
+    """Settings of a JSON file; what it does not name keeps its default. Messages name settings, never values."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+    except (OSError, ValueError) as problem:
+        raise ConfigError(f"settings can't be read: {type(problem).__name__}") from None
+    default = asdict(EngineConfig())
+    if not isinstance(held, dict) or set(held) - set(default):
+        raise ConfigError("unknown settings", names=sorted(set(held) - set(default)) if isinstance(held, dict) else [])
+    wrong = [k for k, v in held.items() if isinstance(v, bool) or not isinstance(v, (int, type(default[k])))]
+    if wrong:
+        raise ConfigError("settings of the wrong kind", names=sorted(wrong))
+    return EngineConfig(**held)
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Bars of the evidence gate, for one model."""

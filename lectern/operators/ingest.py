@@ -188,7 +188,7 @@ class IngestJob:
         done = judged.where("error_code IS NULL AND status <> 'unchanged'").select("doc_id")
         published_chunks = joined.join(done, "doc_id", "left_semi")
 
-        facts = good.select("doc_id", "title", F.col("filename").alias("source_name"), "format", F.col("raw_hash").alias("content_hash"), "parsed_hash")
+        facts = good.select("doc_id", "title", identity.basename(F.col("filename")).alias("source_name"), "format", F.col("raw_hash").alias("content_hash"), "parsed_hash")
         spoken = dominant_language(new.select("doc_id", "ordinal", "language"))
         tried = judged.where("status <> 'unchanged'").join(facts, "doc_id").join(spoken, "doc_id", "left")
         state = F.when(F.col("error_code").isNull(), "published").otherwise("failed")

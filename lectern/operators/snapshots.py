@@ -131,3 +131,66 @@ def snapshot_changes(
         .applyInArrow(lambda t: shard(t.drop_columns(["shard"])), schema)
     )
     return changes.select("snapshot", *(F.col(alias).alias(k) for k, alias in named), "change")
+
+
+def state_schema(rows: DataFrame, keys: list[str], value: Column) -> str:
+    """Schema of the state that ``advance_snapshot`` keeps: shard, keys, ordinal, value, here."""
+    types = {f.name: f.dataType.simpleString() for f in rows.select(*keys, value.alias("value")).schema.fields}
+    return "shard int, " + ", ".join(f"{k} {types[k]}" for k in keys) + f", ordinal long, value {types['value']}, here boolean"
+
+
+def advance_snapshot(state: DataFrame, rows: DataFrame, keys: list[str], value: Column, delivered: str, shards: int = 64) -> DataFrame:
+    """One night more: (change, shard, keys, ordinal, value, here), the new state where change is null, else what changed.
+
+    The state is a table with one row for each key ever seen, kept from night to night: a key has its ordinal within its shard
+    for good, new keys are appended behind the last one, and ``here`` says whether the last snapshot held it. Only the state and the
+    new snapshot are read, however many came before. The number of shards belongs to the state and must not change. Rows of a record
+    count as in ``snapshot_changes``; an empty state is that before the first snapshot, whose records are all added.
+    """
+    schema = state_schema(rows, keys, value)
+    aliases = [f"key_{i}" for i in range(len(keys))]
+    renamed = rows.select(F.lit(0).alias("night"), *(F.col(k).alias(a) for k, a in zip(keys, aliases)), value.alias("value"), F.col(delivered).alias("delivered"))
+    latest = latest_delivery(renamed, "night", aliases, F.col("value"), "delivered")
+    fresh = latest.select(F.pmod(F.xxhash64(*aliases), F.lit(shards)).cast("int").alias("shard"), *aliases, "value")
+    old = state.select("shard", *(F.col(k).alias(a) for k, a in zip(keys, aliases)), "ordinal", "value", "here")
+
+    def shard(held: pa.Table, new: pa.Table) -> pa.Table:
+        n, columns = held.num_rows, {}
+        both = {c: pa.chunked_array([*held[c].chunks, *new[c].cast(held[c].type).chunks], held[c].type) for c in [*aliases, "value"]}
+        codes = [_codes(both[a]) for a in aliases]
+        packed = codes[0].astype(np.int64)
+        for c in codes[1:]:
+            packed = packed * (int(c.max(initial=0)) + 2) + c + 1
+        values = _codes(both["value"])
+        names, first, of = np.unique(packed, return_index=True, return_inverse=True)
+        of = of.ravel()
+        ordinal = np.full(len(names), -1, dtype=np.int64)
+        ordinal[of[:n]] = held["ordinal"].to_numpy()
+        unseen = np.flatnonzero(ordinal < 0)  # in the order of the keys
+        ordinal[unseen] = np.arange(len(unseen)) + (ordinal.max(initial=-1) + 1)
+        was = np.zeros(len(names), dtype=bool)
+        was[of[:n]] = held["here"].to_numpy(zero_copy_only=False)
+        before, now = Bitmap.of(ordinal[was]), Bitmap.of(ordinal[of[n:]])
+        vectors = np.full((2, len(names)), -2, dtype=np.int64)
+        vectors[0][ordinal[of[:n]]], vectors[1][ordinal[of[n:]]] = values[:n], values[n:]
+        common = now.and_(before).ordinals()
+        found = [(ADDED, now.andnot(before).ordinals()), (REMOVED, before.andnot(now).ordinals()), (CHANGED, common[vectors[0][common] != vectors[1][common]])]
+        row_of = np.empty(len(names), dtype=np.int64)
+        row_of[ordinal] = first
+        last = row_of.copy()  # the row whose value is kept: the new one where there is one
+        last[ordinal[of[n:]]] = np.arange(n, n + new.num_rows)
+        here = np.zeros(len(names), dtype=bool)
+        here[ordinal[of[n:]]] = True
+        at = np.concatenate([np.arange(len(names)), *(o for _, o in found)]).astype(np.int64)
+        kinds = [None] * len(names) + [k for k, o in found for _ in range(len(o))]
+        number = (held if n else new)["shard"][0].as_py()
+        columns = {"change": pa.array(kinds, pa.string()), "shard": pa.array(np.full(len(at), number), pa.int32())}
+        columns |= {a: both[a].take(pa.array(row_of[at])) for a in aliases}
+        columns |= {"ordinal": pa.array(at), "value": both["value"].take(pa.array(last[at])), "here": pa.array(here[at])}
+        return pa.table(columns)
+
+    typed = schema
+    for k, a in zip(keys, aliases):
+        typed = typed.replace(f", {k} ", f", {a} ", 1)
+    out = old.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInArrow(shard, "change string, " + typed)
+    return out.select("change", "shard", *(F.col(a).alias(k) for a, k in zip(aliases, keys)), "ordinal", "value", "here")

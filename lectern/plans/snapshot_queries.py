@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.snapshots import clean_hash, snapshot_changes
+from lectern.operators.snapshots import advance_snapshot, clean_hash, snapshot_changes, state_schema
 from lectern.plans.registry import CORE
-from lectern.session import table
+from lectern.session import checkpointed, table
 
 P6_SQL = """
 WITH latest AS (
@@ -43,3 +43,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
         delivered="taken_at",
     )
     return changes.select(F.col("snapshot").alias("snapshot_no"), "doc_id", "ordinal", "change")
+
+
+@CORE.query("p6_nightly", P6_SQL)
+def p6_nightly(spark: SparkSession, folder: str) -> DataFrame:
+    """The same changes found night by night from a kept state, as a nightly job would: each step reads the state and one snapshot."""
+    rows = table(spark, folder, "eligible_snapshots").withColumnRenamed("ordinal", "place")  # the state has an ordinal of its own
+    keys, value = ["doc_id", "place"], clean_hash(F.col("chunk_hash"))
+    state = spark.createDataFrame([], state_schema(rows, keys, value))
+    nights = sorted(r["snapshot_no"] for r in rows.select("snapshot_no").distinct().where("snapshot_no IS NOT NULL").collect())
+    out = None
+    for night in nights:  # one a delivery
+        step = checkpointed(advance_snapshot(state, rows.where(F.col("snapshot_no") == night), keys, value, "taken_at"))
+        state = step.where("change IS NULL").drop("change")
+        found = step.where("change IS NOT NULL").select(F.lit(night).alias("snapshot_no"), "doc_id", F.col("place").alias("ordinal"), "change")
+        if night != nights[0]:
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "snapshot_no int, doc_id string, ordinal int, change string")

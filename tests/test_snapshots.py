@@ -63,3 +63,32 @@ def test_changes_agree_with_a_plain_version(spark):
 def test_nothing_to_compare(spark):
     assert _changes(spark, []) == []
     assert _changes(spark, [(1, "a", 0, "x", None)]) == []
+
+
+def test_a_kept_state_finds_the_same_and_keeps_ordinals(spark, tmp_path):
+    from lectern.operators.snapshots import advance_snapshot, state_schema
+    from lectern.sources.store import TableStore
+
+    rnd = random.Random(9)
+    rows = [
+        (s, rnd.choice(["a", "b", None]), rnd.choice([0, 1, 2, 3, None]), rnd.choice(["h1", " H1", "h2", None]), dt.datetime(2024, 1, s, rnd.randint(0, 5)))
+        for s in range(1, 5)
+        for _ in range(9)
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).withColumnRenamed("ordinal", "place")
+    keys, value = ["doc", "place"], clean_hash(F.col("h"))
+    store, found, seen = TableStore(spark, str(tmp_path / "state")), [], {}
+    state = spark.createDataFrame([], state_schema(df, keys, value))
+    for night in range(1, 5):
+        step = advance_snapshot(state, df.where(F.col("snap") == night), keys, value, "at", shards=3)
+        store.publish(store.stage({"state": step}))
+        step = store.read("state")
+        state = step.where("change IS NULL").drop("change")
+        if night > 1:
+            found += [(night, r.doc, r.place, r.change) for r in step.where("change IS NOT NULL").collect()]
+        now = {(r.doc, r.place): (r.shard, r.ordinal) for r in state.collect()}
+        assert all(now[k] == v for k, v in seen.items()) and len(set(now.values())) == len(now)
+        seen = now
+    assert sorted(found, key=str) == _changes(spark, rows)
+    nothing = advance_snapshot(state.where("false"), df.where("false"), keys, value, "at")
+    assert nothing.count() == 0
