@@ -102,9 +102,11 @@ def eligible_chunks(
 
 
 def first_of_chunk(chunks: DataFrame) -> DataFrame:
-    """One row for each chunk_id. Only ids and hashes of rows are compared, so that texts are not sorted."""
+    """One row for each chunk_id, partitioned by it, in as many partitions as the session's shuffles have, since what follows
+    is dear for its bytes. Only ids and hashes of rows are compared, so that texts are not sorted."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc(c) for c in ("ordinal", "chunk_hash") if c in chunks.columns] + [F.desc(F.xxhash64(*chunks.columns))]
-    return chunks.withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).where("nth = 1").drop("nth")
+    return chunks.repartition(parts, "chunk_id").withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).where("nth = 1").drop("nth")
 
 
 def source_texts(versions: DataFrame, documents: DataFrame) -> DataFrame:
