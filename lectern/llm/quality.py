@@ -35,10 +35,11 @@ def _columns(x: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(c)) for c in x.T]
 
 
-def labelled_sample(rows: DataFrame, key: str, text: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics, weak label) of about ``sample_rows`` rows with a label, spread by a hash of the key."""
-    every = max(1, rows.count() // sample_rows)
-    sample = rows.where((F.pmod(F.xxhash64(key), F.lit(every)) == 0) & (F.length(text) > 0)).select(F.col(text).alias("text"))
+def labelled_sample(rows: DataFrame, text: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, weak label) of those with a label of about ``sample_rows`` rows, drawn by chance, whatever keys repeat."""
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    sample = rows.select(F.col(text).alias("text")).sample(share, seed=0).where(F.length("text") > 0)
+    sample = sample.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # few rows of one file are labelled by all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,14 +48,14 @@ def labelled_sample(rows: DataFrame, key: str, text: str, sample_rows: int) -> t
             yield pa.RecordBatch.from_arrays([pa.array(labels), *_columns(statistics(texts))], names=["label", *STATISTICS])
 
     fields = ", ".join(f"{s} double" for s in STATISTICS)
-    taken = sample.mapInArrow(run, f"label int, {fields}").where("label >= 0").limit(2 * sample_rows).toPandas().to_numpy(dtype=np.float64)
+    taken = sample.mapInArrow(run, f"label int, {fields}").where("label >= 0").toPandas().to_numpy(dtype=np.float64)
     taken = taken[np.lexsort(taken.T[::-1])] if len(taken) else np.zeros((0, 1 + len(STATISTICS)))
     return taken[:, 1:], taken[:, 0]
 
 
-def train(rows: DataFrame, key: str, text: str, sample_rows: int = 6_000) -> BoostedTrees:
+def train(rows: DataFrame, text: str, sample_rows: int = 6_000) -> BoostedTrees:
     """Trees trained on a weakly labelled sample of about ``sample_rows`` rows and calibrated on the holdout."""
-    x, y = labelled_sample(rows, key, text, sample_rows)
+    x, y = labelled_sample(rows, text, sample_rows)
     model = boost(x, y, trees=60, depth=3)
     model.calibrate(*holdout())
     return model

@@ -161,7 +161,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    return text_quality(documents, "doc_id", "text", train_quality(documents, "doc_id", "text"))
+    return text_quality(documents, "doc_id", "text", train_quality(documents, "text"))
 
 
 @LLM.query("p9_found")

@@ -313,8 +313,8 @@ def test_statistics_do_not_depend_on_the_batch():
 
 def test_prose_is_learned_from_several_statistics(spark, sf):
     df = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
-    x, y = quality.labelled_sample(df, "doc_id", "text", 6_000)
-    model = quality.train(df, "doc_id", "text")
+    x, y = quality.labelled_sample(df, "text", 6_000)
+    model = quality.train(df, "text")
     held, truth = quality.holdout()
     found = model.probability(held) < 0.5
     assert len(truth) >= 200 and (found & (truth == 0)).sum() >= 0.97 * (truth == 0).sum() and (found & (truth == 1)).sum() <= 0.02 * (truth == 1).sum()
