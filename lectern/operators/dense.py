@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.session import checkpointed
+
 #: Bytes of query vectors up to which one block is sent to all workers.
 BLOCK_BYTES = 32 * 2**20
 
@@ -24,41 +26,45 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, n: int, keep_self: bool =
     """(query_id, id, similarity, dense_rank): the ``n`` most similar rows of the corpus for every query, exactly.
 
     queries has query_id and vector, corpus has id and vector, all of one length; null vectors and those of another length than
-    the first query are left out, zero vectors have similarity 0. Ties go to the smaller id. Queries are sent to the workers in
-    blocks of bounded size; each task keeps the best of its rows for each query and a window merges them.
+    most queries are left out, zero vectors have similarity 0. Ties go to the smaller id. Queries are checkpointed and sent to the workers in
+    blocks of bounded size, each of which reads the corpus once; a task keeps the best of all its rows for each query, and a window merges
+    the tasks' results.
     """
     spark = corpus.sparkSession
-    out = None
     q_kind, id_kind = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     schema = f"query_id {q_kind}, id {id_kind}, similarity double"
-    held = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    first = held.select(F.size("vector").alias("dim")).first()
-    if first is None:
+    held = checkpointed(queries.where(F.col("vector").isNotNull()).select("query_id", "vector", F.size("vector").alias("dim")))
+    lengths = held.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    if not lengths:
         return spark.createDataFrame([], schema + ", dense_rank int")
-    dim = first["dim"]
-    held = held.where(F.size("vector") == dim)
-    blocks = -(-held.count() * dim * 8 // BLOCK_BYTES)
+    dim = lengths[0]["dim"]
+    blocks = max(1, -(-lengths[0]["count"] * dim * 8 // BLOCK_BYTES))
     rows = corpus.select("id", "vector").where(F.size("vector") == dim)
+    out = None
     for block in range(blocks):
-        mine = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        mine = held.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toPandas()
         if mine.empty:
             continue
         sent = spark.sparkContext.broadcast((mine["query_id"].to_numpy(), _unit(mine["vector"])))
 
         def best(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             names, q = sent.value
+            bar = np.full(len(q), -np.inf)
+            kept = pd.DataFrame({"row": np.zeros(0, dtype=np.int64), "id": [], "similarity": np.zeros(0)})
             for frame in frames:
                 if frame.empty:
                     continue
                 s = q @ _unit(frame["vector"]).T
-                ids = frame["id"].to_numpy()
                 if s.shape[1] > n:
-                    # all that reach the n-th value, so that ties are settled by the window
-                    bar = np.partition(s, -n, axis=1)[:, [-n]]
-                    row, column = np.nonzero(s >= bar - 1e-12)
-                else:
-                    row, column = np.nonzero(np.ones_like(s, dtype=bool))
-                yield pd.DataFrame({"query_id": names[row], "id": ids[column], "similarity": s[row, column]})
+                    bar = np.maximum(bar, np.partition(s, -n, axis=1)[:, -n])
+                row, column = np.nonzero(s >= bar[:, None] - 1e-9)  # ties stay until the end
+                found = pd.DataFrame({"row": row, "id": frame["id"].to_numpy()[column], "similarity": s[row, column]})
+                kept = _first(pd.concat([kept, found]) if len(kept) else found, n)
+                full = kept.groupby("row")["similarity"].agg(["size", "min"])
+                full = full[full["size"] >= n]
+                bar[full.index] = np.maximum(bar[full.index], full["min"])
+            if len(kept):
+                yield pd.DataFrame({"query_id": names[kept["row"].to_numpy()], "id": kept["id"].to_numpy(), "similarity": kept["similarity"].to_numpy()})
 
         found = rows.mapInPandas(best, schema)
         out = found if out is None else out.unionByName(found)
@@ -66,3 +72,9 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, n: int, keep_self: bool =
         out = out.where(F.col("query_id") != F.col("id"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id")
     return out.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= n)
+
+
+def _first(found: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The ``n`` best of every query, in the order of the final ranks."""
+    ordered = found.assign(shown=-found["similarity"].round(9)).sort_values(["row", "shown", "id"], kind="stable")
+    return ordered.groupby("row").head(n)[["row", "id", "similarity"]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,12 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return asked.withColumn("terms", t.query_terms(t.tokenize(F.col("question"))))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, text), distinct: told apart by id and hash, so that texts are not compared."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "text")
+    return chunks.groupBy("chunk_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.max("text").alias("text")).select("chunk_id", "text")
+
+
 def _visible(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.visible_documents(table(spark, folder, "document_versions"))
 
@@ -61,7 +69,7 @@ def normalize_questions(spark: SparkSession, folder: str) -> DataFrame:
 @CORE.query("tokenize_chunks", f"SELECT chunk_id, unnest({sql.tokens('text')}) AS token FROM (SELECT DISTINCT chunk_id, text FROM chunks)")
 def tokenize_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every token of every chunk."""
-    chunks = table(spark, folder, "chunks").select("chunk_id", "text").distinct()
+    chunks = _texts(spark, folder)
     return chunks.select("chunk_id", F.explode(t.tokenize(F.col("text"))).alias("token"))
 
 
@@ -74,7 +82,7 @@ def query_terms(spark: SparkSession, folder: str) -> DataFrame:
 @CORE.query("detect_language", f"SELECT chunk_id, {sql.detected('text')} AS language FROM (SELECT DISTINCT chunk_id, text FROM chunks)")
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
     """Script language of every chunk."""
-    return table(spark, folder, "chunks").select("chunk_id", "text").distinct().select("chunk_id", t.detect_language(F.col("text")).alias("language"))
+    return _texts(spark, folder).select("chunk_id", t.detect_language(F.col("text")).alias("language"))
 
 
 @CORE.query(
@@ -108,7 +116,7 @@ def default_doc_ids(spark: SparkSession, folder: str) -> DataFrame:
 @CORE.query("split_sentences")
 def split_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences for quoting, of every chunk."""
-    chunks = table(spark, folder, "chunks").select("chunk_id", "text").distinct()
+    chunks = _texts(spark, folder)
     return chunks.select("chunk_id", F.inline(t.sentence_spans(F.col("text"))))
 
 
@@ -254,42 +262,57 @@ def diff_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @CORE.query(
     "cache_split",
-    f"""SELECT DISTINCT embed_input_hash AS input_hash, embed_input_hash IN (SELECT input_hash FROM embedding_cache
-    WHERE model_id = '{MODEL}' AND vector IS NOT NULL AND input_hash IS NOT NULL) AS cached FROM chunks""",
+    """SELECT DISTINCT model_id, embed_input_hash AS input_hash, EXISTS (SELECT 1 FROM embedding_cache e WHERE e.model_id = m.model_id AND vector IS NOT NULL
+    AND e.input_hash = c.embed_input_hash) AS cached FROM chunks c, (SELECT DISTINCT model_id FROM embedding_cache WHERE model_id IS NOT NULL) m""",
 )
 def cache_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Which embedding inputs are cached for the model."""
-    inputs = table(spark, folder, "chunks").select(F.col("embed_input_hash").alias("input_hash"))
-    return embedding.cache_split(inputs, table(spark, folder, "embedding_cache"), MODEL)
+    """Which embedding inputs are cached for each model."""
+    inputs, cache = table(spark, folder, "chunks").select(F.col("embed_input_hash").alias("input_hash")), table(spark, folder, "embedding_cache")
+    return _every_model(cache, lambda model: embedding.cache_split(inputs, cache, model))
+
+
+def _every_model(cache: DataFrame, one: Callable[[str], DataFrame]) -> DataFrame:
+    """The rows of one model after the other, with the model; there are few."""
+    out = None
+    for r in cache.where("model_id IS NOT NULL").select("model_id").distinct().orderBy("model_id").collect():
+        rows = one(r["model_id"]).withColumn("model_id", F.lit(r["model_id"]))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else one("").withColumn("model_id", F.lit("")).where("false")
 
 
 CACHE_SQL = f"""cache AS (SELECT * FROM embedding_cache WHERE model_id = '{MODEL}' AND vector IS NOT NULL AND len(vector) = dim
   QUALIFY row_number() OVER (PARTITION BY input_hash ORDER BY created_at DESC) = 1)"""
 
 
+EVERY_CACHE_SQL = """cache AS (SELECT * FROM embedding_cache WHERE model_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = dim
+  QUALIFY row_number() OVER (PARTITION BY input_hash, model_id ORDER BY created_at DESC) = 1)"""
+
+
 @CORE.query(
     "rebuild_vectors",
-    f"""WITH {sql.VISIBLE}, {CACHE_SQL} SELECT e.chunk_id, c.model_id, c.dim,
+    f"""WITH {sql.VISIBLE}, {EVERY_CACHE_SQL} SELECT e.chunk_id, c.model_id, c.dim,
     CASE WHEN list_sum(c.vector) IS NULL OR isnan(list_sum(c.vector)) THEN NULL ELSE round(list_sum(list_transform(c.vector, lambda x: x::DOUBLE)), 3) END AS total
     FROM eligible e JOIN cache c ON e.embed_input_hash = c.input_hash""",
 )
 def rebuild_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of the eligible chunks from the cache alone, each shown by the sum of its numbers."""
-    vectors = embedding.rebuild_vectors(_eligible(spark, folder), table(spark, folder, "embedding_cache"), MODEL)
+    """Vectors of the eligible chunks from the cache alone for every model, each shown by the sum of its numbers."""
+    eligible, cache = _eligible(spark, folder), table(spark, folder, "embedding_cache")
+    vectors = _every_model(cache, lambda model: embedding.rebuild_vectors(eligible, cache, model))
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return vectors.select("chunk_id", "model_id", "dim", F.when(~F.isnan(total), F.round(total, 3)).alias("total"))
 
 
 @CORE.query(
     "reconcile",
-    f"""WITH {sql.VISIBLE}, {CACHE_SQL}, have AS (SELECT DISTINCT k.chunk_id FROM chunks k JOIN cache c ON k.embed_input_hash = c.input_hash)
-    SELECT chunk_id, 'missing' AS finding FROM eligible WHERE chunk_id NOT IN (SELECT chunk_id FROM have)
-    UNION ALL SELECT chunk_id, 'orphaned' FROM have WHERE chunk_id NOT IN (SELECT chunk_id FROM eligible)""",
+    f"""WITH {sql.VISIBLE}, {EVERY_CACHE_SQL}, m AS (SELECT DISTINCT model_id FROM embedding_cache WHERE model_id IS NOT NULL),
+    have AS (SELECT DISTINCT c.model_id, k.chunk_id FROM chunks k JOIN cache c ON k.embed_input_hash = c.input_hash)
+    SELECT m.model_id, chunk_id, 'missing' AS finding FROM eligible e, m WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.model_id = m.model_id AND h.chunk_id = e.chunk_id)
+    UNION ALL SELECT model_id, chunk_id, 'orphaned' FROM have WHERE chunk_id NOT IN (SELECT chunk_id FROM eligible)""",
 )
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    """Eligible chunks without vector, and vectors of chunks that are not eligible."""
-    have = embedding.rebuild_vectors(table(spark, folder, "chunks"), table(spark, folder, "embedding_cache"), MODEL)
-    return diff.reconcile(_eligible(spark, folder), have, "chunk_id")
+    """Eligible chunks without vector, and vectors of chunks that are not eligible, for every model."""
+    chunks, cache, eligible = table(spark, folder, "chunks"), table(spark, folder, "embedding_cache"), _eligible(spark, folder)
+    return _every_model(cache, lambda model: diff.reconcile(eligible, embedding.rebuild_vectors(chunks, cache, model), "chunk_id"))
 
 
 @CORE.query("plan_batches")
@@ -308,7 +331,7 @@ def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 @CORE.query("hash_embedding_chunks")
 def hash_embeddings_of_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Model-free vectors of the texts of all chunks."""
-    chunks = table(spark, folder, "chunks").select("chunk_id", "text").distinct()
+    chunks = _texts(spark, folder)
     return chunks.select("chunk_id", hash_embedding(F.col("text")).alias("vector"))
 
 
