@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern import errors
 from lectern.functions import identity
+from lectern.sources.pdf import BrokenPdf, page_texts
 from lectern.sources.sections import markdown_sections, page_sections, plain_lines, text_sections
 
 MAX_BYTES = 20 * 2**20
@@ -60,13 +61,13 @@ def parse_text(text: str, kind: str, title: str) -> tuple[str, str, list[dict],
 def parse_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(doc_id, filename, format, title, text, sections, error_code) of (filename, content).
 
-    Text must be UTF-8, with or without byte order mark. A PDF has no parser here and is reported as without text layer;
-    its pages come in through ``parse_pages``. Files are parsed where they are read.
+    Text must be UTF-8, with or without byte order mark. Of a PDF the text layer is read; pages that another reader has taken out
+    come in through ``parse_pages``. Files are parsed where they are read.
     """
     checked = files.withColumn("checked", file_format(F.col("filename"), F.col("content"), max_bytes)).select(
         identity.default_doc_id(F.col("filename")).alias("doc_id"), "filename", identity.stem(F.col("filename")).alias("stem"),
         F.col("checked.format").alias("format"), F.col("checked.error_code").alias("error_code"),
-        F.when(F.col("checked.format").isin("md", "txt"), F.col("content")).alias("content"),
+        F.when(F.col("checked.format").isNotNull(), F.col("content")).alias("content"),
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +76,11 @@ def parse_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
             for r in frame.itertuples():
                 title, text, found, code = None, None, None, r.error_code
                 if code is None and r.format == "pdf":
-                    code = errors.NO_TEXT_LAYER
+                    try:
+                        text, sections = page_sections(page_texts(bytes(r.content)), r.stem)
+                        title, found, code = r.stem, _rows(sections), None if sections else errors.NO_TEXT_LAYER
+                    except BrokenPdf:
+                        code = errors.PARSE_ERROR
                 elif code is None:
                     try:
                         title, text, found, code = parse_text(bytes(r.content).decode("utf-8-sig"), r.format, r.stem)

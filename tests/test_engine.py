@@ -45,6 +45,28 @@ def test_sections_of_text_and_markdown():
     ]
 
 
+@pytest.mark.parametrize(
+    ("md", "want"),
+    [
+        ("intro\n\n# A\n\nx\n\n### B\n\ny\n\n## C\nz", [("intro", "file"), ("x", "A"), ("y", "A > B"), ("z", "A > C")]),
+        ("### X\na\n## Y\nb", [("a", "X"), ("b", "X > Y")]),
+        ("#\ntext", [("text", "Untitled")]),
+        ("- a\n  - b\n      - c\n- d\n\n  more of d\n\nend", [("- a", "file"), ("- b", "file"), ("- c", "file"), ("- d", "file"), ("more of d", "file"), ("end", "file")]),
+        ("> quoted\n> on\n>\n> # In\n> below\n\nafter", [("> quoted\n> on", "file"), ("> below", "In"), ("after", "In")]),
+        ("1. one\n\n   ```sh\n   # no heading\n\n   x\n   ```\n2. two", [("1. one", "file"), ("```sh\n   # no heading\n\n   x\n   ```", "file"), ("2. two", "file")]),
+        ("a\n\n    code\n\n    more\n\nb", [("a", "file"), ("code\n\n    more", "file"), ("b", "file")]),
+        ("<!-- one\n\ntwo -->\ntext\n\n<div>\nx\n</div>\n\n***\n\n| a | b |\n|---|---|\n| 1 | 2 |", [("<!-- one\n\ntwo -->", "file"), ("text", "file"), ("<div>\nx\n</div>", "file"), ("| a | b |\n|---|---|\n| 1 | 2 |", "file")]),
+        ("[a]: http://x \"t\"\n[b]: http://y\n\n[c]: http://z\ntext", [("text", "file")]),
+        ("```\nopen", [("```\nopen", "file")]),
+        ("a\n-\nb\n~~~\n```\n~~~\nc", [("b", "a"), ("~~~\n```\n~~~", "a"), ("c", "a")]),
+        ("", []),
+    ],
+)
+def test_markdown_blocks(md, want):
+    _, found = markdown_sections(md, "file")
+    assert [(md[s.char_start : s.char_end], " > ".join(s.path)) for s in found] == want
+
+
 def test_files_give_rows_or_codes(spark):
     files = [
         ("d/A b.md", b"# T\n\nx"), ("b.txt", "﻿one\r\n\r\ntwo".encode()), ("c.txt", b"\xff\xfe"), ("d.pdf", b"%PDF-1.7"),
@@ -54,7 +76,7 @@ def test_files_give_rows_or_codes(spark):
     got = {r.filename: r for r in parse_files(df, max_bytes=50).collect()}
     codes = {k: v.error_code for k, v in got.items()}
     assert codes == {
-        "d/A b.md": None, "b.txt": None, "c.txt": "PARSE_ERROR", "d.pdf": "NO_TEXT_LAYER", "e.txt": "NO_TEXT_LAYER",
+        "d/A b.md": None, "b.txt": None, "c.txt": "PARSE_ERROR", "d.pdf": "PARSE_ERROR", "e.txt": "PARSE_ERROR",
         "f.pdf": "UNSUPPORTED_FORMAT", "g.txt": "EMPTY_DOCUMENT", "h.txt": "FILE_TOO_LARGE", "i.doc": "UNSUPPORTED_FORMAT", "j.txt": "EMPTY_DOCUMENT",
     }
     assert got["d/A b.md"].doc_id == "a-b" and got["b.txt"].text == "one\n\ntwo" and len(got["b.txt"].sections) == 2
