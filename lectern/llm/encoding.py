@@ -13,6 +13,7 @@ for the whole text:
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -70,7 +71,8 @@ class Encoder:
 
     def _empty(self) -> None:
         self.memory.clear()
-        self.ids: list[np.ndarray] = []
+        self.ids = array("i")  # of all remembered fragments, one behind the other
+        self.ends = array("q", [0])  # where each of them ends, behind a 0
 
     def cuts(self, text: str) -> np.ndarray:
         """Offsets in the text, ascending, at which it may be cut without a change of the ids."""
@@ -93,22 +95,23 @@ class Encoder:
         whole = "".join(texts)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         at = np.union1d(self.cuts(whole), np.r_[0, ends])
-        memory, ids = self.memory, self.ids
+        memory, ids, fragment_ends = self.memory, self.ids, self.ends
         numbers = np.empty(max(0, len(at) - 1), dtype=np.int64)
         stops = at.tolist()
         for i in range(len(stops) - 1):
             fragment = whole[stops[i] : stops[i + 1]]
             n = memory.get(fragment)
             if n is None:
-                n = memory[fragment] = len(ids)
-                ids.append(np.array(self.encoding.encode_ordinary(fragment), dtype=np.int32))
+                n = memory[fragment] = len(fragment_ends) - 1
+                ids.extend(self.encoding.encode_ordinary(fragment))
+                fragment_ends.append(len(ids))
             numbers[i] = n
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
-        counts = sizes[numbers]
+        held = np.array(fragment_ends, dtype=np.int64)
+        starts, counts = held[numbers], held[numbers + 1] - held[numbers]
         offset = np.cumsum(counts) - counts
-        out = flat[np.repeat(starts[numbers] - offset, counts) + np.arange(counts.sum())]
+        flat = np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, dtype=np.int32)
+        out = flat[np.repeat(starts - offset, counts) + np.arange(counts.sum())]
+        del flat  # a view would keep the array from growing
         total = np.r_[0, np.cumsum(counts)]
         bounds = total[np.searchsorted(at, ends)]
         return out, np.diff(np.r_[0, bounds])
