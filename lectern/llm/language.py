@@ -28,8 +28,10 @@ LONGEST = 4
 LEAST_WORDS = 4
 #: Lead of the best language over the next, as a share of probability, that a segment needs.
 LEAST_LEAD = 0.35
-#: Factor from scores to the exponents of the probabilities.
+#: Factor from scores to the exponents of the shares that decide; confidences have a factor of their own, fitted to held-out sentences.
 SHARPNESS = 4.0
+#: Factors that are tried for the confidences.
+SHARPER = tuple(float(x) for x in np.round(np.geomspace(0.5, 32, 37), 3))
 #: Words kept scored by a worker; when as many are held, the memory is emptied.
 MEMORY = 400_000
 
@@ -117,6 +119,7 @@ class KernelModel:
     languages: tuple[str, ...]
     number: dict[str, int]
     coefficients: np.ndarray  # n-grams × languages
+    sharpness: float = SHARPNESS
 
     def word(self, word: str) -> np.ndarray:
         """Sum of the coefficients of a word's n-grams, then their number."""
@@ -172,6 +175,29 @@ def fit(
     return KernelModel(LANGUAGES, number, coefficients.astype(np.float64))
 
 
+def fitted_sharpness(rows: Sequence[Sequence[str]], labels: Sequence[int], landmarks: int) -> float:
+    """The factor under which held-out labels are most likely: each half of the sentences is scored by a model of the other.
+
+    Stored labels may be wrong, so the likelihood is that of a label that is wrong once in a hundred times.
+    """
+    found, wanted = [], []
+    for half in (0, 1):
+        model = fit([r for i, r in enumerate(rows) if i % 2 != half], [y for i, y in enumerate(labels) if i % 2 != half], landmarks, rounds=1)
+        held = [i for i in range(len(rows)) if i % 2 == half and len(rows[i])]
+        if held:
+            found.append(Labeller(model).scores([list(rows[i]) for i in held]))
+            wanted += [labels[i] for i in held]
+    if not wanted:
+        return SHARPNESS
+    scores, y = np.concatenate(found), np.array(wanted)
+    return max(SHARPER, key=lambda f: float(np.log(0.99 * _softmax(f * scores)[np.arange(len(y)), y] + 0.01 / len(LANGUAGES)).sum()))
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def train(
     rows: DataFrame, text: str, label: str, key: str, sample_rows: int = 4_000, per_language: int = 300, landmarks: int = 300
 ) -> KernelModel:
@@ -191,7 +217,9 @@ def train(
                 break
         examples += found[:per_language]
         labels += [code] * len(found[:per_language])
-    return fit(examples, labels, landmarks)
+    model = fit(examples, labels, landmarks)
+    model.sharpness = fitted_sharpness(examples, labels, landmarks)
+    return model
 
 
 class Labeller:
@@ -206,8 +234,8 @@ class Labeller:
         self.known: list[np.ndarray] = []
         self.table = np.zeros((0, len(self.model.languages) + 1))
 
-    def probabilities(self, rows: list[list[str]]) -> np.ndarray:
-        """Probability of every language for every list of words (none of them empty)."""
+    def scores(self, rows: list[list[str]]) -> np.ndarray:
+        """Score of every language for every list of words (none of them empty)."""
         if len(self.number) > MEMORY:
             self._empty()
         number, known = self.number, self.known
@@ -223,15 +251,14 @@ class Labeller:
             self.table = np.concatenate([self.table, np.stack(known[len(self.table) :])])
         starts = np.cumsum([0] + [len(words) for words in rows[:-1]])
         sums = np.add.reduceat(self.table[at], starts, axis=0)
-        scores = SHARPNESS * sums[:, :-1] / np.sqrt(np.maximum(1, sums[:, -1:]))
-        e = np.exp(scores - scores.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+        return sums[:, :-1] / np.sqrt(np.maximum(1, sums[:, -1:]))
 
     def label(self, texts: list[str]) -> list[tuple[str | None, float | None, list[tuple[int, int, str, float]]]]:
         """(language or mixed, confidence, segments as (start, end, language, confidence)) of each text."""
         split = [segments(t) for t in texts]
         rows = [words for parts in split for _, _, words in parts]
-        p = self.probabilities(rows) if rows else np.zeros((0, len(self.model.languages)))
+        scores = self.scores(rows) if rows else np.zeros((0, len(self.model.languages)))
+        p, sure_of = (_softmax(f * scores) if rows else scores for f in (SHARPNESS, self.model.sharpness))
         best = p.argmax(1)
         ordered = np.sort(p, 1)
         lead = ordered[:, -1] - ordered[:, -2] if len(p) else np.zeros(0)
@@ -240,11 +267,11 @@ class Labeller:
         out, i = [], 0
         for parts in split:
             j = i + len(parts)
-            out.append(self._whole(parts, p[i:j], best[i:j], sure[i:j], sizes[i:j]))
+            out.append(self._whole(parts, p[i:j], sure_of[i:j], best[i:j], sure[i:j], sizes[i:j]))
             i = j
         return out
 
-    def _whole(self, parts, p, best, sure, sizes):
+    def _whole(self, parts, p, sure_of, best, sure, sizes):
         if not parts:
             return None, None, []
         names = self.model.languages
@@ -255,7 +282,7 @@ class Labeller:
             main = int((p * sizes[:, None]).sum(0).argmax())
             found = {main}
         merged: list[list] = []
-        for (start, end, _), q, b, ok, n in zip(parts, p, best, sure, sizes):
+        for (start, end, _), q, b, ok, n in zip(parts, sure_of, best, sure, sizes):
             code = int(b) if ok else merged[-1][2] if merged else None
             if merged and merged[-1][2] in (code, None):
                 last = merged[-1]
@@ -269,7 +296,7 @@ class Labeller:
             spans.append((start, end, names[code], float(q[code] / n)))
         if len(found) > 1:
             return MIXED, min(s[3] for s in spans), spans
-        return names[main], float((p[:, main] * sizes).sum() / sizes.sum()), spans
+        return names[main], float((sure_of[:, main] * sizes).sum() / sizes.sum()), spans
 
 
 LABELLED = (
