@@ -637,39 +637,60 @@ def text_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 TIGHT = EngineConfig(chunk_target_tokens=60, chunk_hard_max_tokens=120)
 
-WINDOW_SQL = f"""WITH RECURSIVE src AS (SELECT chunk_id, regexp_replace(max(text), '[\\s\\p{{Z}}]+$', '') AS text FROM chunks GROUP BY chunk_id),
-big AS (SELECT chunk_id, text FROM src WHERE length(text) > 180), {sql.sentences("big", "chunk_id")},
+def _window_sql(c: EngineConfig) -> str:
+    """Common tables that end with ``spans`` (chunk_id, a, b): the windows of every chunk's text as one section."""
+    target, hard, overlap = c.target_chars, c.hard_chars, c.overlap_chars
+    return f"""WITH RECURSIVE src AS (SELECT chunk_id, regexp_replace(max(text), '[\\s\\p{{Z}}]+$', '') AS text FROM chunks GROUP BY chunk_id),
+big AS (SELECT chunk_id, text FROM src WHERE length(text) > {hard}), {sql.sentences("big", "chunk_id")},
 numbered AS (SELECT chunk_id, start, "end", length(text) AS size, row_number() OVER (PARTITION BY chunk_id ORDER BY start) AS n FROM sentences),
 fold AS (
   SELECT chunk_id, 0 AS n, 0 AS a, 0 AS b, CAST(NULL AS INT) AS out_a, CAST(NULL AS INT) AS out_b FROM big
   UNION ALL
-  SELECT f.chunk_id, f.n + 1, CASE WHEN f.b > f.a AND f.b - f.a + s.size > 90 THEN greatest(f.a, f.b - 13) ELSE f.a END, s."end"::INT,
-    CASE WHEN f.b > f.a AND f.b - f.a + s.size > 90 THEN f.a END, CASE WHEN f.b > f.a AND f.b - f.a + s.size > 90 THEN f.b END
+  SELECT f.chunk_id, f.n + 1, CASE WHEN f.b > f.a AND f.b - f.a + s.size > {target} THEN greatest(f.a, f.b - {overlap}) ELSE f.a END, s."end"::INT,
+    CASE WHEN f.b > f.a AND f.b - f.a + s.size > {target} THEN f.a END, CASE WHEN f.b > f.a AND f.b - f.a + s.size > {target} THEN f.b END
   FROM fold f JOIN numbered s ON s.chunk_id = f.chunk_id AND s.n = f.n + 1),
 packed AS (SELECT chunk_id, out_a AS a, out_b AS b FROM fold WHERE out_a IS NOT NULL
   UNION ALL SELECT chunk_id, a, b FROM fold WHERE b > a QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC) = 1),
-cut AS (SELECT chunk_id, a, b FROM packed WHERE b - a <= 180
-  UNION ALL SELECT chunk_id, s, least(s + 180, b) FROM (SELECT chunk_id, b, unnest(range(a, greatest(a, b - 1) + 1, 167)) AS s FROM packed WHERE b - a > 180)),
+cut AS (SELECT chunk_id, a, b FROM packed WHERE b - a <= {hard}
+  UNION ALL SELECT chunk_id, s, least(s + {hard}, b) FROM (SELECT chunk_id, b, unnest(range(a, greatest(a, b - 1) + 1, {max(1, hard - overlap)})) AS s FROM packed WHERE b - a > {hard})),
 tail AS (SELECT c.chunk_id, last(c.a ORDER BY c.a, c.b) AS a, any_value(length(text)) AS b, max(c.b) AS most FROM cut c JOIN big USING (chunk_id) GROUP BY c.chunk_id),
 spans AS (SELECT chunk_id, a, b FROM cut UNION ALL SELECT chunk_id, a, b FROM tail WHERE most < b
-  UNION ALL SELECT chunk_id, 0, length(text) FROM src WHERE length(text) <= 180)"""
+  UNION ALL SELECT chunk_id, 0, length(text) FROM src WHERE length(text) <= {hard})"""
 
 
 @CORE.query(
     "chunk_windows",
-    WINDOW_SQL + """ SELECT chunk_id AS doc_id, row_number() OVER (PARTITION BY chunk_id ORDER BY a, b) - 1 AS ordinal, a AS char_start, b AS char_end FROM spans JOIN src USING (chunk_id)
+    _window_sql(TIGHT) + """ SELECT chunk_id AS doc_id, row_number() OVER (PARTITION BY chunk_id ORDER BY a, b) - 1 AS ordinal, a AS char_start, b AS char_end FROM spans JOIN src USING (chunk_id)
     WHERE regexp_matches(substring(text, a + 1, b - a), '[^\\s\\p{Z}]')""".replace("\\\\", "\\"),
 )
 def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 90 characters, at most 180, for every chunk's text as one section."""
+    found = chunking.chunk_sections(_as_sections(spark, folder), TIGHT, hashes=False)
+    return found.select("doc_id", "ordinal", "char_start", "char_end")
+
+
+def _as_sections(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "chunks").groupBy(F.col("chunk_id").alias("doc_id")).agg(F.regexp_replace(F.max("text"), r"[\s\p{Z}]+$", "").alias("body"))
     nothing = F.lit(None).cast("int")
-    sections = texts.select(
+    return texts.select(
         "doc_id", F.lit(0).alias("section_no"), F.lit(0).alias("char_start"), "body", F.array(F.lit("T")).alias("section_path"),
         *(nothing.alias(c) for c in ("page_start", "page_end", "line_start", "line_end")),
     )
-    found = chunking.chunk_sections(sections, TIGHT, hashes=False)
-    return found.select("doc_id", "ordinal", "char_start", "char_end")
+
+
+SIZES = (EngineConfig(chunk_target_tokens=60, chunk_hard_max_tokens=120), EngineConfig(chunk_target_tokens=120, chunk_hard_max_tokens=240), EngineConfig())
+
+
+@CORE.query("chunk_size_sweep")
+def chunk_size_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and size of the windows under three settings."""
+    sections, out = _as_sections(spark, folder), None
+    for n, c in enumerate(SIZES):
+        size = F.col("char_end") - F.col("char_start")
+        one = chunking.chunk_sections(sections, c, hashes=False).agg(F.count("*").alias("chunks"), F.sum(size).alias("chars"), F.max(size).alias("longest"))
+        one = one.select(F.lit(n).alias("config"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 HASH_SQL = """WITH asked AS (SELECT question_id, max(question) AS question FROM questions GROUP BY question_id),

@@ -67,3 +67,10 @@ def test_hash_embedding_of_all_chunks(spark, sf):
     chunks = spark.read.parquet(os.path.join(sf, "chunks.parquet")).select("chunk_id", "text").distinct()
     assert sorted(r.chunk_id for r in got) == sorted(r.chunk_id for r in chunks.collect())
     assert all(len(r.vector) == 32 for r in got)
+
+
+def test_chunk_sizes_agree_with_the_windows(spark, sf):
+    sweep = {r.config: r for r in core.queries()["chunk_size_sweep"](spark, sf).collect()}
+    windows = [r.char_end - r.char_start for r in core.queries()["chunk_windows"](spark, sf).collect()]
+    assert (sweep[0].chunks, sweep[0].chars, sweep[0].longest) == (len(windows), sum(windows), max(windows))
+    assert sweep[0].chunks > sweep[1].chunks > sweep[2].chunks and [sweep[i].longest for i in range(3)] <= [180, 360, 1050]
