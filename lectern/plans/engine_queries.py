@@ -641,8 +641,8 @@ def _window_sql(c: EngineConfig) -> str:
     """Common tables that end with ``spans`` (chunk_id, a, b): the windows of every chunk's text as one section."""
     target, hard, overlap = c.target_chars, c.hard_chars, c.overlap_chars
     return f"""WITH RECURSIVE src AS (SELECT chunk_id, regexp_replace(max(text), '[\\s\\p{{Z}}]+$', '') AS text FROM chunks GROUP BY chunk_id),
-big AS (SELECT chunk_id, text FROM src WHERE length(text) > {hard}), {sql.sentences("big", "chunk_id")},
-numbered AS (SELECT chunk_id, start, "end", length(text) AS size, row_number() OVER (PARTITION BY chunk_id ORDER BY start) AS n FROM sentences),
+big AS MATERIALIZED (SELECT chunk_id, text FROM src WHERE length(text) > {hard}), {sql.sentences("big", "chunk_id")},
+numbered AS MATERIALIZED (SELECT chunk_id, start, "end", length(text) AS size, row_number() OVER (PARTITION BY chunk_id ORDER BY start) AS n FROM sentences),
 fold AS (
   SELECT chunk_id, 0 AS n, 0 AS a, 0 AS b, CAST(NULL AS INT) AS out_a, CAST(NULL AS INT) AS out_b FROM big
   UNION ALL
