@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm.hnsw import Graph
 from lectern.session import checkpointed
@@ -256,12 +255,24 @@ def nearest_vectors(
         groups = told.groupBy("name", "digest").agg(F.first("others").alias("others"), F.first("sims").alias("sims"))
         salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = found.unionByName(rest.join(salted, ["name", "digest", "salt"]).select("name", "key", "others", "sims"))
-    pairs = found.select("name", "key", F.inline(F.arrays_zip("others", "sims"))).withColumnsRenamed({"others": "other", "sims": "similarity"})
-    once = pairs.groupBy("name", "key", "other").agg(F.max("similarity").alias("similarity"))
-    order = Window.partitionBy("name", "key").orderBy(F.desc("similarity"), "other")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _merged(found, k)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of every key out of the lists of its cells; a pair found in several cells counts once.
+
+    The lists of a key, at most one a cell, are shuffled as they are and merged as arrays.
+    """
+    pair = lambda p: F.struct(p["others"].alias("other"), (-p["sims"]).alias("far"))
+    lists = found.groupBy("name", "key").agg(F.flatten(F.collect_list(F.arrays_zip("others", "sims"))).alias("all"))
+    by_other = lists.select("name", "key", F.array_sort(F.transform("all", pair)).alias("pairs"))
+    once = F.filter("pairs", lambda p, i: (i == 0) | ~p["other"].eqNullSafe(F.get("pairs", i - 1)["other"]))
+    best = F.slice(F.array_sort(F.transform(once, lambda p: F.struct(p["far"].alias("far"), p["other"].alias("other")))), 1, k)
+    ranked = by_other.select("name", "key", F.posexplode(best).alias("nth", "best"))
     named = F.split("name", " ", 2)
-    return ranked.select(named[1].alias("space"), named[0].cast("int").alias("dim"), "key", "other", "similarity", "rank")
+    return ranked.select(
+        named[1].alias("space"), named[0].cast("int").alias("dim"), "key", F.col("best.other").alias("other"), (-F.col("best.far")).alias("similarity"), (F.col("nth") + 1).alias("rank")
+    )
 
 
 def mutual_pairs(nearest: DataFrame, least: float) -> DataFrame:
