@@ -3,7 +3,7 @@
 Statistics are computed for every document where it is read. Gradient-boosted trees are trained on the statistics of a
 bounded sample. Its labels are weak: functions vote on the texts by evidence that is no statistic of the model, and texts on
 which they disagree or are silent are left out. The probabilities are calibrated on a holdout of documents of the corpus that
-were read and labelled by hand; of these the statistics are kept, with a hash of the text.
+were labelled by hand from excerpts; of these the statistics are kept, with a hash of the text.
 """
 
 from __future__ import annotations
