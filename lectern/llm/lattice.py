@@ -2,17 +2,16 @@
 
 A run of characters is cut into words by its cheapest path: a dictionary word costs a little, a stretch of characters outside
 any word costs more and grows with its length, so that unknown words stay whole. The dictionaries are lists of frequent words by their
-part in a sentence; words of a public tokenizer's vocabulary can be added by its path.
+part in a sentence; to those of Chinese and Japanese the words of a public tokenizer's vocabulary are added, whose file must be there.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 from functools import lru_cache
 
-from lectern.llm.encoding import BYTE_BPE_50K
+from lectern.llm.encoding import BYTE_BPE_50K, read_ranks
 
 # Thai: verbs and adjectives that make a clause, final particles, words that carry a sentence on, and others.
 THAI_PREDICATES = frozenset(
@@ -60,17 +59,21 @@ NEVER_FIRST = frozenset("ะัาำิีึืฺุู็่้๊๋์ํ
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str | None = None) -> frozenset[str]:
-    """Whole words of Chinese and Japanese in the ranks of a public tokenizer; empty where the file is missing."""
+    """Whole words of Chinese and Japanese in the ranks of a public tokenizer.
+
+    A file that can't be read, is no rank file or has no such word is an error, since without its words other sentences are found.
+    """
     path = path or os.path.join(os.path.dirname(BYTE_BPE_50K), "byte_bpe_multi_50k.tiktoken")
     words = set()
-    try:
-        with open(path, "rb") as f:
-            for line in f:
-                word = base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip()
-                if WHOLE_WORD.fullmatch(word):
-                    words.add(word)
-    except OSError:
-        pass
+    for token in read_ranks(path):
+        try:
+            word = token.decode("utf-8").strip()
+        except UnicodeDecodeError:  # a token that begins or ends within a character is no word
+            continue
+        if WHOLE_WORD.fullmatch(word):
+            words.add(word)
+    if not words:
+        raise ValueError(f"no words of Chinese or Japanese in {path}")
     return frozenset(words)
 
 

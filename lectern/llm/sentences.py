@@ -300,7 +300,9 @@ def split_sentences(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, char_start, char_end, sentence), one row per sentence; offsets count code points, the end is exclusive.
 
     Texts that are null, empty or without a visible character have no sentences. Rows are split where they are
-    read, without a shuffle; repeated rows give repeated sentences, further columns are dropped.
+    read, without a shuffle; repeated rows give repeated sentences, further columns are dropped. The rank file of
+    ``lattice.vocabulary`` must be readable on every executor; where it is not, the first text that needs its words
+    is an error.
     """
     kind = rows.schema[key].dataType.simpleString()
 

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -382,6 +383,35 @@ def test_cheapest_words_against_all_paths():
         assert "".join(lattice.cheapest_words(run, lattice.thai_words() | lattice.thick_words())) == run
 
 
+@pytest.mark.parametrize("held", [None, "", "aGVsbG8= 0\n", "no ranks here\n"])
+def test_vocabulary_that_is_not_there_is_an_error(tmp_path, held):
+    path = tmp_path / "ranks.tiktoken"
+    if held is not None:
+        path.write_text(held)
+    with pytest.raises((OSError, ValueError)):
+        lattice.vocabulary(str(path))
+
+
+def test_vocabulary_has_whole_words_only(tmp_path):
+    path = tmp_path / "ranks.tiktoken"
+    tokens = ["漢字".encode(), " 世界".encode(), "中国人".encode()[:-1], "東京都".encode()[1:], b"hello"]
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    assert lattice.vocabulary(str(path)) == {"漢字", "世界"}
+
+
+def test_no_sentences_without_the_vocabulary(tmp_path, monkeypatch):
+    text = "他说：“走吧。”ということ很大。"
+    caches = lattice.vocabulary, lattice.thick_words, sentences.carries_on, sentences.closes_clause
+    for c in caches:
+        c.cache_clear()
+    with monkeypatch.context() as m:
+        m.setattr(lattice, "BYTE_BPE_50K", str(tmp_path / "byte_bpe_50k.tiktoken"))
+        with pytest.raises(FileNotFoundError):
+            sentences.sentence_spans(text)
+    assert sentences.sentence_spans(text) == [(0, 8), (8, 16)]
+    assert sentences.sentence_spans("One text. Another one.") == [(0, 9), (10, 22)]
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
