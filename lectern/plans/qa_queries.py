@@ -357,8 +357,7 @@ def _tokens_of(chunks: DataFrame) -> DataFrame:
 @CORE.query("bm25_topk", BM25_SQL)
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The thirty best eligible chunks by words for every question."""
-    tokens = checkpointed(_tokens_of(_eligible(spark, folder)))
-    found = lexical.bm25(_asked(spark, folder), tokens, 30)
+    found = lexical.bm25(_asked(spark, folder), _tokens_of(_eligible(spark, folder)), 30)
     return found.select("question_id", "chunk_id", F.round("bm25", 5).alias("bm25"), "lexical_rank", F.round("lexical_score", 5).alias("lexical_score"))
 
 

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +151,45 @@ def test_parts_of_tokens(spark):
     assert {r.chunk_id for r in lexical.bm25(asked.where("question_id = '1'"), chunks).collect()} == {"b", "d"}
 
 
+def _by_hand(questions, chunks, mean):
+    """BM25 of every pair of a question and a chunk that meet, with the best first."""
+    df = {}
+    for held in chunks.values():
+        for term in held:
+            df[term] = df.get(term, 0) + 1
+    out = {}
+    for q, terms in questions.items():
+        sums = {}
+        for c, held in chunks.items():
+            if both := terms & held:
+                idf = [math.log((len(chunks) - df[t] + 0.5) / (df[t] + 0.5)) for t in both]
+                sums[c] = -sum((x if x > 0 else 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(held) / mean)) for x in idf)
+        out[q] = sorted((round(s, 9), c) for c, s in sums.items())
+    return out
+
+
+@pytest.mark.parametrize("limit, block", [(7, 500_000), (None, 500_000), (7, 40)])
+def test_bm25_of_questions_with_the_same_terms_and_tied_chunks(spark, monkeypatch, limit, block):
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", block)
+    rnd = random.Random(5)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(900)]
+    texts = [set(rnd.choices(words, k=rnd.randint(2, 9))) for _ in range(120)]
+    chunks = {f"c{i:04}": texts[i % 120] for i in range(600)}
+    sets = [frozenset(rnd.choices(words, k=rnd.randint(1, 6))) for _ in range(25)]
+    questions = {f"q{i}": sets[i % 25] for i in range(50)}
+    asked = spark.createDataFrame([(q, sorted(x)) for q, x in questions.items()], "question_id string, terms array<string>")
+    rows = spark.createDataFrame([(c, sorted(x)) for c, x in chunks.items()], "chunk_id string, tokens array<string>")
+    found = lexical.bm25(asked, rows, limit)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan  # no question meets a posting in a join
+    got = {}
+    for r in found.orderBy("question_id", "lexical_rank").collect():
+        got.setdefault(r.question_id, []).append((round(r.bm25, 9), r.chunk_id))
+    want = _by_hand(questions, chunks, sum(map(len, chunks.values())) / 600)
+    assert {q: [c for _, c in x] for q, x in got.items()} == {q: [c for _, c in x[:limit]] for q, x in want.items()}
+    assert all(a[0] == pytest.approx(b[0]) for q in got for a, b in zip(got[q], want[q]))
+
+
 def test_requests_have_bounds(spark):
     rows = [("ok", "what pump", 5, "en"), ("null", None, 5, "en"), ("long", "x" * 2001, 5, "en"), ("none", "", 5, None), ("top", "pump", 51, None), ("lang", "pump", None, "de"), ("stop", "the of", None, None)]
     df = spark.createDataFrame(rows, "id string, q string, k int, l string").withColumn("terms", t.query_terms(t.tokenize(F.col("q"))))
