@@ -1,7 +1,11 @@
 import json
 import math
+import pathlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from lectern.errors import ConfigError
 from lectern.functions import text as t
 from lectern.operators import answering, chunking, corpus, dense, diff, embedding, fusion, gate, lexical, vector_index
 from lectern.operators.requests import request_error
-from lectern.plans import evaluation
+from lectern.plans import evaluation, queries
 from lectern.plans.report import render
 from lectern.sources.files import parse_files, parse_pages, parse_texts, read_cases, section_rows
 from lectern.sources.sections import markdown_sections, text_sections
@@ -246,6 +250,49 @@ def test_cosine(spark):
     assert dense.cosine_topk(q.where("false"), rows, 3).count() == 0
 
 
+def test_cosine_of_many_queries_with_ties_in_bounded_memory(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, queries = rng.integers(-2, 3, (90, 4)).astype(float)[rng.integers(0, 90, 4000)], rng.normal(size=(2000, 4))
+    monkeypatch.setattr(dense, "ID_ROWS", 900)
+    ids, names = pa.array([f"r{i:04}" for i in range(4000)]), pa.array(np.arange(2000))
+    batches = [pa.RecordBatch.from_arrays([ids[a : a + 1000], pa.array(list(rows[a : a + 1000]))], ["id", "vector"]) for a in range(0, 4000, 1000)]
+    monkeypatch.setattr(dense, "PRODUCTS", 50_000)
+    unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0)
+    tracemalloc.start()
+    found = pa.Table.from_batches(dense._nearest(iter(batches), names, unit(queries), 25))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 < 2000 * 1000 * 8 * 2  # all products of one batch are 16 MB, and were held more than once
+    s = np.round(unit(queries) @ unit(rows).T, 9)
+    got = {}
+    for q, i in zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True):
+        got.setdefault(q, set()).add(i)
+    assert all(got[q] == {f"r{i:04}" for i in np.lexsort((np.arange(4000), -s[q]))[:25]} for q in range(2000))
+
+
+@pytest.mark.parametrize("name", ["answers"])
+def test_questions_of_one_text_get_the_same_answer(spark, sf, tmp_path, name):
+    folder = tmp_path / "t"
+    folder.mkdir()
+    for path in pathlib.Path(sf).iterdir():
+        if path.name != "questions.parquet":
+            (folder / path.name).symlink_to(path)
+    asked = spark.read.parquet(f"{sf}/questions.parquet")
+    twice = asked.unionByName(asked.withColumn("question_id", F.concat(F.lit("z"), "question_id")))
+    none = asked.limit(1).withColumns({"question_id": F.explode(F.array(F.lit("n1"), F.lit("n2"))), "question": F.lit(None).cast("string")})
+    twice.unionByName(none).write.parquet(str(folder / "questions.parquet"))
+    terms = []
+    keep = lexical.bm25
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lexical, "bm25", lambda questions, *a, **k: terms.append(questions.count()) or keep(questions, *a, **k))
+        got = {r.question_id: r.asDict(recursive=True) for r in queries.queries()[name](spark, str(folder)).collect()}
+    texts = {r.question_id: r.question for r in asked.collect()}
+    assert terms == [len(set(texts.values()))]  # each text is searched for once
+    for q in texts:
+        assert got[q] == got[f"z{q}"] | {"question_id": q}
+    assert set(got) == {*texts, *(f"z{q}" for q in texts), "n1", "n2"} and got["n1"]["status"] == got["n2"]["status"] == "invalid_question"
+
+
 def test_fusion(spark):
     near = spark.createDataFrame([("q", "a", 1, 0.9), ("q", "b", 2, 0.8)], "question_id string, chunk_id string, dense_rank int, similarity double")
     words = spark.createDataFrame([("q", "b", 1, -3.0, 1.0), ("q", "c", 2, -1.0, 0.3)], "question_id string, chunk_id string, lexical_rank int, bm25 double, lexical_score double")
