@@ -319,8 +319,7 @@ QUALIFY lexical_rank <= 30"""
 @CORE.query("bm25_parts_topk", PARTS_SQL)
 def bm25_parts_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The thirty best eligible chunks for every question by the parts of words, so that a number in a code is found."""
-    tokens = checkpointed(_tokens_of(_eligible(spark, folder)))
-    found = lexical.bm25(_asked(spark, folder), tokens, 30, parts=True)
+    found = lexical.bm25(_asked(spark, folder), _tokens_of(_eligible(spark, folder)), 30, parts=True)
     return found.select("question_id", "chunk_id", F.round("bm25", 5).alias("bm25"), "lexical_rank")
 
 

@@ -194,6 +194,31 @@ def test_bm25_of_questions_with_the_same_terms_and_tied_chunks(spark, monkeypatc
     assert all(a[0] == pytest.approx(b[0]) for q in got for a, b in zip(got[q], want[q]))
 
 
+def test_parts_stand_next_to_each_other_as_often_as_counted(spark):
+    rnd = random.Random(8)
+    parts = ["1", "2", "11", "a", "b"]
+    tokens = lambda: list(dict.fromkeys("-".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(rnd.randint(1, 5))))
+    chunks = {f"c{i:03}": tokens() for i in range(80)}
+    questions = {f"q{i}": tokens()[:3] for i in range(30)} | {"q0": ["1-1", "1.1", "z"]}
+    rows = spark.createDataFrame(list(chunks.items()), "chunk_id string, tokens array<string>")
+    found = lexical.bm25(spark.createDataFrame(list(questions.items()), "question_id string, terms array<string>"), rows, 10, parts=True)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # no question meets a posting in a join
+    lines = {c: [p for x in held for p in x.split("-")] for c, held in chunks.items()}
+    mean = sum(map(len, lines.values())) / len(lines)
+    times = lambda line, sought: sum(line[i : i + len(sought)] == sought for i in range(len(line)))
+    want = []
+    for q, terms in questions.items():
+        sums = {}
+        for term in set(terms):
+            sought = term.replace(".", "-").split("-")
+            held = {c: n for c, line in lines.items() if (n := times(line, sought))}
+            idf = max(math.log((len(lines) - len(held) + 0.5) / (len(held) + 0.5)), 0) or 1e-6
+            for c, n in held.items():
+                sums[c] = sums.get(c, 0) - idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(lines[c]) / mean))
+        want += [(q, k + 1, c, pytest.approx(s, abs=2e-9)) for k, (s, c) in enumerate(sorted((round(s, 9), c) for c, s in sums.items())[:10])]
+    assert sorted((r.question_id, r.lexical_rank, r.chunk_id, r.bm25) for r in found.collect()) == sorted(want, key=lambda x: x[:2])
+
+
 def test_requests_have_bounds(spark):
     rows = [("ok", "what pump", 5, "en"), ("null", None, 5, "en"), ("long", "x" * 2001, 5, "en"), ("none", "", 5, None), ("top", "pump", 51, None), ("lang", "pump", None, "de"), ("stop", "the of", None, None)]
     df = spark.createDataFrame(rows, "id string, q string, k int, l string").withColumn("terms", t.query_terms(t.tokenize(F.col("q"))))
