@@ -295,7 +295,7 @@ def test_cosine_of_many_queries_with_ties_in_bounded_memory(spark, monkeypatch):
     assert all(got[q] == {f"r{i:04}" for i in np.lexsort((np.arange(4000), -s[q]))[:25]} for q in range(2000))
 
 
-@pytest.mark.parametrize("name", ["answers"])
+@pytest.mark.parametrize("name", ["answers", "answers_debug"])
 def test_questions_of_one_text_get_the_same_answer(spark, sf, tmp_path, name):
     folder = tmp_path / "t"
     folder.mkdir()
